@@ -6,9 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scrubline.operators import timestamps
+from scrubline.session import table
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.signups_in_utc(table(spark, sf_dir, "messy_customers"), table(spark, sf_dir, "branches"))
+
+
+def p6_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.normalise_signups(table(spark, sf_dir, "messy_customers"), table(spark, sf_dir, "branches"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
+    return own
 
 
 def oracle_sql() -> dict[str, str]:
