@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubline.llm import hidden_duplicates, leakage
+from scrubline.llm import canonical_values, hidden_duplicates, leakage
 from scrubline.session import table
 
 
@@ -18,6 +18,14 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_duplicates.collapse(table(spark, sf_dir, "messy_customers"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_values.mapped_cities(table(spark, sf_dir, "messy_customers"), table(spark, sf_dir, "ref_cities"))
+
+
+def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_values.unmatched_cities(table(spark, sf_dir, "messy_customers"), table(spark, sf_dir, "ref_cities"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
