@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubline.operators import column_profile, timestamps
+from scrubline.operators import column_profile, schema_drift, timestamps
 from scrubline.session import table
+from scrubline.sources import raw_records
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,22 @@ def p2_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_profile.induced_patterns(table(spark, sf_dir, "clean_customers"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.schema_changes(table(spark, sf_dir, "feed_files"), table(spark, sf_dir, "raw_lines"))
+
+
+def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.unified_rows(table(spark, sf_dir, "feed_files"), table(spark, sf_dir, "raw_lines"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_records.failing_lines(table(spark, sf_dir, "feed_files"), table(spark, sf_dir, "raw_lines"))
+
+
+def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_records.valid_rows(table(spark, sf_dir, "feed_files"), table(spark, sf_dir, "raw_lines"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.signups_in_utc(table(spark, sf_dir, "messy_customers"), table(spark, sf_dir, "branches"))
 
