@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -23,8 +24,20 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session; Spark sends the archive from the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_scrubline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='scrubline-')}/{root.name}", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._scrubline_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table called name of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
