@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubline.llm import canonical_values, hidden_duplicates, leakage
+from scrubline.llm import abusive_content, canonical_values, hidden_duplicates, leakage
 from scrubline.session import table
 
 
@@ -34,6 +34,18 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abusive_content.abusive_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abusive_content.document_scores(table(spark, sf_dir, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abusive_content.source_rates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
