@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubline.llm import abusive_content, canonical_values, hidden_duplicates, leakage
+from scrubline.llm import abusive_content, canonical_values, hidden_duplicates, leakage, packing
 from scrubline.session import table
 
 
@@ -26,6 +26,14 @@ def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_values.unmatched_cities(table(spark, sf_dir, "messy_customers"), table(spark, sf_dir, "ref_cities"))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+
+
+def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.usage(p8_packed(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
