@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubline.llm import abusive_content, canonical_values, hidden_duplicates, leakage, packing
+from scrubline.llm import abusive_content, canonical_values, hidden_duplicates, leakage, name_variants, packing
 from scrubline.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.variant_pairs(table(spark, sf_dir, "messy_customers"))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.entity_rows(table(spark, sf_dir, "messy_customers"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_duplicates.formatting_copies(table(spark, sf_dir, "messy_customers"))
 
