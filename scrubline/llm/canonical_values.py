@@ -65,6 +65,15 @@ def edits(a: str, b: str, most: int) -> int:
     """Edits (insert, delete, replace, swap neighbours) from a to b, or most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # Equal beginnings and ends cost nothing, so only what lies between is compared.
+    least, i, j = min(len(a), len(b)), 0, 0
+    while i < least and a[i] == b[i]:
+        i += 1
+    while j < least - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
     before, now = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         before, last, now = now, before, [i]
