@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scrubline.operators import column_profile, schema_drift, timestamps
+from scrubline.queries import cleaning
 from scrubline.session import table
 from scrubline.sources import raw_records
 
@@ -49,7 +50,7 @@ def p6_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
-    return own
+    return {**cleaning.QUERIES, **own}
 
 
 _P2_FOUND = r"""
@@ -82,4 +83,4 @@ SELECT DISTINCT * FROM (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2_FOUND.replace("\\\\", "\\")}
+    return {**cleaning.SQL, "p2_found": _P2_FOUND}
