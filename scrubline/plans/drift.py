@@ -65,14 +65,15 @@ def detect_drift(recipe: Recipe, df: DataFrame) -> list[Finding]:
     now = fingerprint(df)
     old, new = list(was.get("column_names", [])), now["column_names"]
     gone, extra = [x for x in old if x not in new], [x for x in new if x not in old]
+    outputs = {x.source: x.rename_to for x in recipe.columns if x.rename_to}
     found = []
     for name in gone:
-        match, score = best_match(name, extra, SAME_NAME)
+        # A column may come back under a name like its old one, or like the one it is given.
+        match, score = max((best_match(known, extra, SAME_NAME) for known in (name, outputs.get(name, name))), key=lambda m: m[1])
         if match:
             extra.remove(match)
             found.append(Finding("renamed_column", match, "warning", f"{name!r} may now be {match!r}", f"read {name!r} from {match!r}", {"from": name, "similarity": round(score, 3)}))
-        else:
-            found.append(Finding("missing_column", name, "warning", f"{name!r} is missing", f"drop {name!r} from the recipe"))
+        found.append(Finding("missing_column", name, "warning", f"{name!r} is missing", None if match else f"drop {name!r} from the recipe"))
     found += [Finding("new_column", x, "warning", f"{x!r} is new") for x in extra]
     for name in old:
         if name in new and family(was["dtypes"][name]) != family(now["dtypes"][name]):
@@ -115,7 +116,7 @@ def suggest_update(recipe: Recipe, df: DataFrame) -> tuple[Recipe, list[Finding]
             if finding.kind == "format_drift" and column.source == finding.column:
                 column.ops = [Op(o.name, o.params | {"formats": [*o.params["formats"], *finding.evidence["formats"]]}) if o.name == "parse_date" else o for o in column.ops]
     if {f.kind for f in found} & {"missing_column"}:
-        missing = {f.column for f in found if f.kind == "missing_column"}
+        missing = {f.column for f in found if f.kind == "missing_column" and f.suggestion}
         made.columns = [x for x in made.columns if x.source not in missing]
     made.fingerprint = fingerprint(df)
     return made, found
