@@ -93,7 +93,7 @@ def replay_file(spark: SparkSession, recipe: Recipe, path: str, out: str, mode:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     folder = path if Path(path).is_dir() else str(Path(path).parent)
     source = spark.readStream.schema(schema).option("header", True).option("sep", "\t" if suffix == ".tsv" else ",").option("maxFilesPerTrigger", max_files)
-    source = source.option("pathGlobFilter", "*" if folder == path else Path(path).name).csv(folder)
+    source = source.option("recursiveFileLookup", True).option("pathGlobFilter", "*" if folder == path else Path(path).name).csv(folder)
     work = Path(out).with_name(f".{Path(out).name}.{uuid.uuid4().hex}")
     try:
         made = replay_stream(recipe, source, f"{work}/clean", f"{work}/held", f"{work}/checkpoint", mode)
