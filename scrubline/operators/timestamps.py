@@ -37,7 +37,7 @@ _TIME = r"(?:(?:T|,? )(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([ap])\.?
 # Each shape: a cheap test, the pattern, and the order of its groups as kind, three parts of the day, and the time.
 _SHAPES = [
     (r"^\d{4}[-/.]", r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + _TIME, ("ymd", 1, 3, 4, 5)),
-    (r"^\d{1,2}[-/.]\d", r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})" + _TIME, ("order", 1, 3, 4, 5)),
+    (r"^\d{1,2}[-/.]\d", r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{1,2})" + _TIME, ("order", 1, 3, 4, 5)),
     (r"^\d{8}(?!\d)", r"^(\d{4})(\d{2})(\d{2})(?:[T ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?())?(?: ?(Z|[+-]\d{2}(?::?\d{2})?))?$", ("ymd", 1, 2, 3, 4)),
     (r"^\d+$", r"^(\d{9,18})$", ("epoch", 1, 0, 0, 0)),
     (r"^[A-Za-z]{3,9}\.? \d", r"^" + _MONTH + r"\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})" + _TIME, ("mdy", 1, 2, 3, 4)),
@@ -129,7 +129,7 @@ def to_utc(df: DataFrame, text: str, zone: str, date_order: str, keep: list[str]
     year_text = F.when(order == "ymd", p[1]).otherwise(p[3])
     parsed = parsed.select(
         *keep, "_text", "_zone", kind.alias("kind"),
-        (F.when(F.length(year_text) <= 2, year + 2000).otherwise(year)).alias("_y"),
+        F.when(F.length(year_text) == 2, year + 2000).when(F.length(year_text) == 4, year).alias("_y"),
         F.when(order == "mdy", month("_p[1]")).otherwise(month("_p[2]")).alias("_m"),
         F.when(order == "ymd", c).when(order == "mdy", b).otherwise(a).alias("_d"),
         F.when(p[4] == "", 0).otherwise(_int(p[4])).alias("_h"), F.when(p[5] == "", 0).otherwise(_int(p[5])).alias("_mi"), F.when(p[6] == "", 0).otherwise(_int(p[6])).alias("_s"),

@@ -101,7 +101,8 @@ def is_amount(value: str) -> bool:
     value = value.strip()
     if not value or value.lower() in MISSING:
         return True
-    return bool(AMOUNT.fullmatch(value)) and value.count("(") == value.count(")")
+    signs = sum(value.replace("/-", "").count(s) for s in "+-")
+    return signs <= 1 and value.count("(") == value.count(")") and bool(AMOUNT.fullmatch(value))
 
 
 @lru_cache(64)
@@ -120,7 +121,7 @@ def read_record(text: str, delimiter: str) -> tuple[list[str] | None, str | None
     # The reader lets quotes pass inside fields that don't begin with one.
     if '"' in text and '"' in _quoted(delimiter).sub("", text):
         return None, "quoting"
-    return (rows[0] if rows else [""]), None
+    return (rows[0] if rows and rows[0] else [""]), None
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
