@@ -96,6 +96,14 @@ def value_type(value: str) -> str:
     return "date" if calendar_days(value) else "text"
 
 
+def signup_kind(value: str) -> str:
+    """The type of a signup date; for days that can be read in one order only, that order too."""
+    kind = value_type(value)
+    if kind == "date" and (m := _YEAR_LAST.fullmatch(" ".join(value.split()))):
+        return "day_first" if int(m[1]) > 12 else "month_first" if int(m[3]) > 12 else kind
+    return kind
+
+
 def is_amount(value: str) -> bool:
     """Whether a value is empty, marked as not available, or one amount."""
     value = value.strip()
@@ -142,7 +150,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if amount is not None and not is_amount(amount):
                     reason = "bad_amount"
             types = [value_type(x) for x in fields] if fields else None
-            rows.append((line, file, no, header, fields, types, reason, amount, signup, value_type(signup) if signup is not None else None))
+            rows.append((line, file, no, header, fields, types, reason, amount, signup, signup_kind(signup) if signup is not None else None))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
@@ -165,10 +173,14 @@ def parsed_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
     known = heads.join(only(files, {"file_id": "bigint", "delimiter": "string"}).dropDuplicates(["file_id"]), "file_id", "full")
     rows = raw.filter("line_no > 1").join(known, "file_id", "left").select("line_id", "file_id", "line_no", "raw_text", "delimiter", "head")
     parsed = rows.mapInArrow(_parse, PARSED)
-    # In a file whose signup column holds dates, a value that is none is an error.
-    votes = parsed.filter("reason is null and signup_type <> ''").groupBy("file_id", "signup_type").agg(F.count(F.lit(1)).alias("n"))
-    dated = votes.groupBy("file_id").agg(F.max_by("signup_type", F.struct("n", "signup_type")).alias("mostly")).filter("mostly = 'date'")
-    bad = F.col("reason").isNull() & F.col("mostly").isNotNull() & (F.trim("signup") != "") & (F.col("signup_type") != "date")
+    # In a file whose signup column holds dates, a value that is none is an error, and so is a day in the order that the file doesn't use.
+    votes = parsed.filter("reason is null and signup_type <> ''")
+    dates = F.col("signup_type").isin("date", "day_first", "month_first")
+    count = lambda test: F.sum(test.cast("bigint"))
+    kinds = votes.groupBy("file_id").agg(count(dates).alias("date"), *(count(F.col("signup_type") == k).alias(k) for k in ("day_first", "month_first", "integer", "decimal", "boolean", "text")))
+    dated = kinds.filter(F.col("date") > F.greatest("integer", "decimal", "boolean", "text")).select("file_id", F.lit(True).alias("dated"), "day_first", "month_first")
+    turned = (F.col("signup_type") == "month_first") & (F.col("day_first") > F.col("month_first")) | (F.col("signup_type") == "day_first") & (F.col("month_first") > F.col("day_first"))
+    bad = F.col("reason").isNull() & F.col("dated").isNotNull() & (F.trim("signup") != "") & (~dates | turned)
     return parsed.join(dated, "file_id", "left").select(
         "line_id", "file_id", "line_no", "header", "fields", "types", F.when(bad, "bad_date").otherwise(F.col("reason")).alias("reason"), "amount", "signup"
     )

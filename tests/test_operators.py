@@ -143,7 +143,7 @@ def test_failing_records(spark):
         "Ann,01/02/2024,10,a@b.example": None, '"Lee, Ann",01/02/2024,"1,000",x': None, "Ann,,n/a,": None, "Ann,01/02/2024,₹1,x": None, "Ann,01/02/2024,(12.50),x": None, "Ann,01/02/2024,-5 USD,x": None,
         '"line\nbreak",01/02/2024,1,x': None, 'A "n" n,01/02/2024,1,x': "quoting", '"Ann,01/02/2024,1,x': "quoting", '"Ann" ,01/02/2024,1,x': "quoting", '"A ""n"" n",01/02/2024,1,x': None,
         "Ann,01/02/2024,1": "column_count", "": "column_count", "a,b,c,d,e": "column_count", "Ann,01/02/2024,1.2.3,x": "bad_amount", "Ann,01/02/2024,12ab,x": "bad_amount", "Ann,01/02/2024,$,x": "bad_amount",
-        "Ann,31/02/2024,1,x": "bad_date", "Ann,week 12,1,x": "bad_date", "Ann,01/02/2024,9,y": None, "Ann,02/02/2024,9,y": None, "Ann,05/02/2024,9,y": None, "Ann,soon,x1,": "bad_amount",
+        "Ann,31/02/2024,1,x": "bad_date", "Ann,12/14/2024,1,x": "bad_date", "Ann,14/12/2024,1,x": None, "Ann,15/12/2024,1,x": None, "Ann,week 12,1,x": "bad_date", "Ann,01/02/2024,9,y": None, "Ann,02/02/2024,9,y": None, "Ann,05/02/2024,9,y": None, "Ann,soon,x1,": "bad_amount",
     }
     files = table(spark, [(1, "f", 1, ",", "x"), (2, "f", 2, ";", "x")], FILES)
     lines = lines_of(spark, {1: ["Full Name,Joined,Order Value,Mail", *body], 2: ["a;b", "1;2", "1,2", None], 3: ["p,q", "1,2"]})
