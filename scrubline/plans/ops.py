@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from scrubline.errors import OpError, RecipeError
 from scrubline.functions import columns as c
+from scrubline.plans.profile import exact_quantiles
 from scrubline.plans.registry import CHECKS, ROW_ID, Made, op_spec, register_op, validator
 from scrubline.plans.rows import carry
 
@@ -154,7 +155,7 @@ def fill_na(df: DataFrame, column: str, value: Any = None, strategy: str | None
         value = best.v if best else None
         return df if value is None else df.withColumn(column, F.coalesce(col, F.lit(value).cast(kind)))
     if how in ("mean", "median"):
-        value = df.agg(F.avg(number) if how == "mean" else F.percentile(number, F.lit(0.5))).first()[0]
+        value = df.agg(F.avg(number)).first()[0] if how == "mean" else exact_quantiles(df.select(number), [0.5])[0]
         return df if value is None else df.withColumn(column, F.coalesce(col.cast("double") if kind != "string" else col, F.lit(float(value)) if kind != "string" else c.number_text(F.lit(float(value)))))
     value = {"zero": 0, "empty": ""}.get(how, value)
     if value is None:

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scrubline.functions import columns as c
 from scrubline.plans.registry import ROW_ID
@@ -18,6 +19,8 @@ SHOWN = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 #: Values of a column, the first in row order, by which its semantic type is judged.
 PATTERN_SAMPLE = 5000
+#: Size of the sketch that brackets quantiles.
+QUANTILE_ACCURACY = 10_000
 # Parts of column names that hint at a type.
 NAME_HINTS = {
     "email": ("email", "e-mail", "mail"), "phone": ("phone", "mobile", "contact", "tel", "cell", "whatsapp"), "date": ("date", "dob", "day", "created", "updated", "signup", "joined", "timestamp"),
@@ -126,16 +129,49 @@ def key_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
 
 
+def exact_quantiles(values: DataFrame, shares: Sequence[float], accuracy: int = QUANTILE_ACCURACY) -> list[float | None]:
+    """Exact quantiles, linear between neighbours, of the one column of values; nulls have no say.
+
+    A sketch of fixed size brackets each rank; then only values inside the brackets,
+    about four in accuracy of all, are counted, sorted and ranked. No task holds or
+    sorts all values.
+    """
+    v = F.col("v")
+    values = values.toDF("v").filter(v.isNotNull())
+    slack = 2.0 / accuracy
+    edges = [min(1.0, max(0.0, p + d)) for p in shares for d in (-slack, slack)]
+    n, found = values.agg(F.count(v), F.percentile_approx(v, edges, accuracy)).first()
+    if not n:
+        return [None] * len(shares)
+    result = []
+    for i, share in enumerate(shares):
+        low, high = found[2 * i], found[2 * i + 1]
+        below = values.agg(F.sum((v < low).cast("bigint"))).first()[0]
+        inside = values.filter(v.between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        last = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below
+        place = share * (n - 1)
+        wanted = [int(place), min(int(place) + 1, n - 1)]
+        ranked = inside.withColumn("last", last).withColumn("first", F.col("last") - F.col("n"))
+        rows = ranked.filter(" or ".join(f"(first <= {k} and {k} < last)" for k in wanted)).collect()
+        one, two = (next((r.v for r in rows if r["first"] <= k < r["last"]), None) for k in wanted)
+        if one is None or two is None:
+            # The neighbour may lie just outside the bracket.
+            two = values.filter(v > high).agg(F.min(v)).first()[0] if two is None else two
+            one = values.filter(v < low).agg(F.max(v)).first()[0] if one is None else one
+        result.append(one + (two - one) * (place - int(place)))
+    return result
+
+
 def outlier_bounds(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """(q1, q3, low, high, n_values, n_outliers): values more than k interquartile ranges outside the quartiles, which are exact."""
     kind = dict(df.dtypes)[column]
-    number = c.to_numeric(F.col(f"`{column}`")) if kind == "string" else F.col(f"`{column}`").cast("double")
-    # Grouped values first: the exact percentile then holds distinct values with counts, not rows.
-    counts = df.select(number.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    bounds = counts.agg(F.percentile("v", [0.25, 0.75], F.col("n")).alias("q"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_values")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "n_values")
-    bounds = bounds.withColumns({"low": F.col("q1") - k * (F.col("q3") - F.col("q1")), "high": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
-    outside = counts.join(F.broadcast(bounds), (F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_outliers"))
-    return bounds.join(F.broadcast(outside))  # one row each
+    number = c.to_numeric(F.col(f"`{column}`")) if kind == "string" else c.no_nan(F.col(f"`{column}`").cast("double"))
+    values = df.select(number.alias("v"))
+    q1, q3 = exact_quantiles(values, [0.25, 0.75])
+    low, high = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+    outside = (F.col("v") < F.lit(low).cast("double")) | (F.col("v") > F.lit(high).cast("double"))
+    counts = values.agg(F.count("v").alias("n_values"), F.coalesce(F.sum(outside.cast("bigint")), F.lit(0)).alias("n_outliers"))
+    return counts.select(*(F.lit(x).cast("double").alias(n) for n, x in (("q1", q1), ("q3", q3), ("low", low), ("high", high))), "n_values", "n_outliers")
 
 
 def hinted(name: str, kind: str) -> bool:

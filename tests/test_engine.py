@@ -158,3 +158,20 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "a string, b double")
     done = execute(Recipe.from_dict({"columns": {"a": {"ops": ["strip_whitespace"]}, "b": {"ops": [{"fill_na": "mean"}]}}, "validate": [{"column": "a", "check": "unique"}]}), empty)
     assert done.output().count() == 0 and done.diff.count() == 0
+
+
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_quantiles_are_exact(spark, accuracy):
+    import random
+
+    import numpy as np
+
+    from scrubline.plans.profile import exact_quantiles, outlier_bounds
+
+    rng = random.Random(8)
+    for values in ([], [3.0], [1.0, 2.0], [5.0] * 40 + [6.0], [float(rng.randint(0, 50)) for _ in range(997)], [rng.gauss(0, 1) for _ in range(5000)]):
+        df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+        found = exact_quantiles(df, [0.0, 0.25, 0.5, 0.75, 1.0], accuracy)
+        assert found == ([None] * 5 if not values else pytest.approx(list(np.quantile(values, [0, 0.25, 0.5, 0.75, 1.0]))))
+    assert outlier_bounds(spark.createDataFrame([(x,) for x in [*range(20), 1000]], "x long"), "x").first().n_outliers == 1
+    assert outlier_bounds(spark.createDataFrame([], "x double"), "x").first().n_outliers == 0
