@@ -7,7 +7,6 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -62,13 +61,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def only(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The needed columns of df, cast to the types given, whatever else df has."""
-    names = set(df.columns)
-    if missing := [c for c in columns if c not in names]:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*(df[f"`{c}`"].cast(t).alias(c) for c, t in columns.items()))
-
-
-def field(name: str, kind: str) -> T.StructField:
-    """A nullable field of the DDL type kind."""
-    return T.StructField(name, T._parse_datatype_string(kind), True)
+    """The needed columns of df, cast to the types given, whatever else df has.
+
+    A column is taken by its exact name, else by the only one that differs in letter
+    case; of several columns with that exact name the first counts.
+    """
+    places = {}
+    for name in columns:
+        alike = [i for i, n in enumerate(df.columns) if n.lower() == name.lower()]
+        exact = [i for i in alike if df.columns[i] == name]
+        if not exact and len(alike) != 1:
+            raise ValueError(f"missing column: {name}")
+        places[name] = (exact or alike)[0]
+    # By place, as other columns may have clashing names.
+    numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return numbered.select(*(numbered[f"c{places[c]}"].cast(t).alias(c) for c, t in columns.items()))
