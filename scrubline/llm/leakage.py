@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -100,6 +100,20 @@ def spans(text: str, items: tuple[tuple[int, str], ...], passage: int) -> list[t
     return [(item, starts[a], ends[b], b - a + 1) for item, runs in hits.items() for a, b in runs]
 
 
+def _blocks(sized: DataFrame, most: int) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The items in blocks of at most that many words, or of one item."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for item, text, n in sized.orderBy("item_id").toLocalIterator():
+        if block and size + n > most:
+            yield tuple(block)
+            block, size = [], 0
+        block.append((item, text))
+        size += n
+    if block:
+        yield tuple(block)
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, passage_words: int = PASSAGE_WORDS, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """(doc_id, item_id, begin, end, n_words): each passage of at least passage_words words of an item in a document.
 
@@ -112,27 +126,22 @@ def leaked_passages(documents: DataFrame, items: DataFrame, passage_words: int =
     """
     items = only(items, {"item_id": "bigint", "item_text": "string"}).dropna().distinct()
     sized = items.select("item_id", "item_text", F.size(F.split("item_text", r"[^\p{L}\p{N}]+")).cast("bigint").alias("n"))
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for item, text, n in sized.orderBy("item_id").toLocalIterator():
-        if blocks[-1] and size + n > automaton_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += n
     docs = only(documents, {"doc_id": "bigint", "text": "string"}).dropna()
     kind = "doc_id long, item_id long, begin long, end long, n_words long"
-    result = None
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(tuple(block))
+    parts = []
+    # One block after the other, so the driver holds no more than one.
+    for block in _blocks(sized, automaton_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in spans(text, shared.value, passage_words)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 5, names=["doc_id", "item_id", "begin", "end", "n_words"])
 
-        part = docs.mapInArrow(scan, kind)
-        result = part if result is None else result.union(part)
+        parts.append(docs.mapInArrow(scan, kind))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], kind)
+    result = reduce(DataFrame.union, parts)
     return result.distinct()
 
 
