@@ -46,6 +46,23 @@ def fold_table() -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def _mixed() -> np.ndarray:
+    """Each folded code point as a number of 64 bits without pattern."""
+    codes = np.arange(0x110000, dtype=np.uint64) * MIX
+    return codes ^ (codes >> np.uint64(29))
+
+
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    """The powers of the base, at least n of them; longer texts extend what is there."""
+    if len(_POWERS[0]) < n:
+        _POWERS[0] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 256), BASE), dtype=np.uint64)])
+    return _POWERS[0]
+
+
 def composed(value: str) -> str:
     """The few values with marks or letters of several parts, in composed form."""
     return unicodedata.normalize("NFC", unicodedata.normalize("NFC", value).casefold())
@@ -57,31 +74,28 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def hashes(values: pa.Array) -> np.ndarray:
-    """The polynomial hash of the letters and digits of each value, case folded."""
+def hashes(values: pa.Array, settled: bool = False) -> np.ndarray:
+    """The polynomial hash of the letters and digits of each value, case folded; settled values are composed already."""
     table = fold_table()
     codes, lengths = _codes(values)
     kept = table[codes]
     ends = np.cumsum(lengths)
-    if (kept == COMPOSE).any():
-        rows = np.unique(np.searchsorted(ends, np.flatnonzero(kept == COMPOSE), side="right"))
-        texts = values.to_pylist()
-        for i in rows:
-            texts[i] = composed(texts[i])
-        codes, lengths = _codes(pa.array(texts, pa.string()))
-        kept = table[codes]
-        kept[kept == COMPOSE] = SKIP  # marks that complete no letter
-        ends = np.cumsum(lengths)
-    used = np.concatenate([[0], np.cumsum(kept != SKIP)])
-    first, last = used[ends - lengths], used[ends]
-    kept = kept[kept != SKIP].astype(np.uint64)
-    place = np.arange(len(kept)) - np.repeat(first, last - first)
-    powers = np.cumprod(np.full(int((last - first).max(initial=0)) + 1, BASE), dtype=np.uint64)
-    mixed = kept * MIX
-    mixed ^= mixed >> np.uint64(29)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers[place], dtype=np.uint64)])
-    result = (sums[last] - sums[first]) * MIX + (last - first).astype(np.uint64)
-    return (result ^ (result >> np.uint64(31))).view(np.int64)
+    odd = np.flatnonzero(kept == COMPOSE)
+    kept[odd] = SKIP
+    letters = np.flatnonzero(kept)
+    # How many letters come before the beginning and the end of each value.
+    edges = np.searchsorted(letters, np.concatenate([[0], ends]))
+    counts = np.diff(edges)
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(edges[:-1].astype(np.int32), counts)
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(_mixed()[kept[letters]] * _powers(int(counts.max(initial=0)))[place], out=sums[1:])
+    result = (sums[edges[1:]] - sums[edges[:-1]]) * MIX + counts.astype(np.uint64)
+    result = (result ^ (result >> np.uint64(31))).view(np.int64)
+    if len(odd) and not settled:
+        # Only values whose marks may complete a letter are hashed again; marks that complete none are skipped.
+        rows = np.unique(np.searchsorted(ends, odd, side="right"))
+        result[rows] = hashes(pa.array([composed(values[int(i)].as_py()) for i in rows], pa.string()), True)
+    return result
 
 
 def same(a: str, b: str) -> bool:
