@@ -49,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local["):
+    if named is None and context.master != "local" and not context.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     context.setCheckpointDir(named or Path(tempfile.mkdtemp(prefix="scrubline-")).as_uri())
 
