@@ -7,9 +7,10 @@ repaired words of a value are combined by soft TF-IDF to rank whole entries.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import pandas as pd
@@ -162,6 +163,62 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = THRES
     )
 
 
+class Entries:
+    """map_values for one value at a time, over a reference list that every task holds."""
+
+    def __init__(self, reference: Iterable[tuple[int, list[str], str | None]], threshold: float = THRESHOLD):
+        reference = list(reference)
+        self.threshold, self.codes = threshold, {}
+        for entry, _, code in reference:
+            if code is not None:
+                self.codes[code.lower()] = min(entry, self.codes.get(code.lower(), entry))
+        forms = next(_forms(iter([pd.DataFrame([(e, n) for e, n, _ in reference], columns=["entry", "names"])])))
+        having: dict[str, set[int]] = {}
+        leads: dict[str, bool] = {}
+        for entry, _, word, lead in forms.itertuples(index=False):
+            having.setdefault(word, set()).add(entry)
+            leads[word] = leads.get(word, False) or lead
+        self.terms: dict[str, list[tuple[int, int, float]]] = {}
+        self.totals: dict[tuple[int, int], float] = {}
+        for entry, form, word, _ in forms.itertuples(index=False):
+            w = math.log1p(len(reference) / len(having[word])) ** 2
+            self.terms.setdefault(word, []).append((entry, form, w))
+            self.totals[entry, form] = self.totals.get((entry, form), 0.0) + w
+        self.near: dict[str, dict[str, bool]] = {}
+        for word in having:
+            for n in neighbours(word):
+                if n[0] != "~":
+                    self.near.setdefault(n, {})[word] = False
+            for n in abbreviations(word) if leads[word] else ():
+                self.near.setdefault(n, {}).setdefault(word, True)
+        self.longest = max(map(len, having), default=0)
+
+    def meant(self, value: str) -> int | None:
+        """The entry that value means, or None."""
+        if (coded := self.codes.get("".join(c for c in value if unicodedata.category(c)[0] in "LN").lower())) is not None:
+            return coded
+        sims: dict[str, float] = {}
+        for unit in units(normal(value)):
+            # A longer word has too many letters for any word of the list.
+            found: dict[str, bool] = {}
+            for n in neighbours(unit) if len(unit) <= self.longest + 2 else ():
+                for word, short in self.near.get(n, {}).items():
+                    found[word] = found.get(word, True) and short
+            for word, short in found.items():
+                most = max(most_edits(unit), most_edits(word))
+                sim = ABBREVIATION_SIMILARITY if short and unit != word else 1 - d / max(len(unit), len(word)) if (d := edits(unit, word, most)) <= most else 0.0
+                sims[word] = max(sim, sims.get(word, 0.0))
+        got: dict[tuple[int, int], float] = {}
+        for word, sim in sims.items():
+            for entry, form, w in self.terms[word]:
+                got[entry, form] = got.get((entry, form), 0.0) + w * sim
+        best: dict[int, tuple[float, float]] = {}
+        for (entry, form), g in got.items():
+            best[entry] = max((g / self.totals[entry, form], g), best.get(entry, (0.0, 0.0)))
+        ranked = sorted(((g, entry) for entry, (score, g) in best.items() if score >= self.threshold), reverse=True)
+        return None if not ranked or len(ranked) > 1 and ranked[1][0] >= ranked[0][0] - 1e-9 else ranked[0][1]
+
+
 def _word_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []

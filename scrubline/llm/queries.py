@@ -11,11 +11,11 @@ from scrubline.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_variants.variant_pairs(table(spark, sf_dir, "messy_customers"))
+    return name_variants.variant_pairs(table(spark, sf_dir, "messy_customers"), table(spark, sf_dir, "ref_cities"))
 
 
 def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_variants.entity_rows(table(spark, sf_dir, "messy_customers"))
+    return name_variants.entity_rows(table(spark, sf_dir, "messy_customers"), table(spark, sf_dir, "ref_cities"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
