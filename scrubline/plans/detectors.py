@@ -1,7 +1,7 @@
 """Detectors: what may be wrong with a table, and the operations that would mend it.
 
-A detector looks at the first values of a column in row order, as distinct
-values with counts, through aggregations; only bounded results reach the driver.
+A detector looks at all values of a column, as distinct values with counts,
+through aggregations; only bounded results reach the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from scrubline.errors import ScrublineError
 from scrubline.functions import columns as c
 from scrubline.plans.names import best_match, name_key, similarity, snake_case
-from scrubline.plans.profile import NUMERIC, ColumnProfile, Profile, key_duplicates, outlier_bounds, profile, sample
+from scrubline.plans.profile import NUMERIC, ColumnProfile, Profile, distinct_values, key_duplicates, outlier_bounds, profile
 from scrubline.plans.registry import DETECTORS, ROW_ID, detector
 from scrubline.plans.rows import head, with_row_id
 from scrubline.plans.schema import Schema
@@ -61,11 +61,11 @@ class Context:
         return self.profile.columns[self.column]
 
     def values(self) -> DataFrame:
-        """(value, n) of the first non-null values."""
-        return sample(self.df, self.column, SAMPLE)
+        """(value, n) of all non-null values."""
+        return distinct_values(self.df, self.column)
 
     def counts(self, **tests: Column) -> dict[str, int]:
-        """How many of the first values pass each test, in one job."""
+        """How many of the values pass each test, in one job."""
         row = self.values().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), *(F.coalesce(F.sum(F.when(t, F.col("n"))), F.lit(0)).alias(k) for k, t in tests.items())).first()
         return row.asDict()
 

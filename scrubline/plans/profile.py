@@ -17,8 +17,6 @@ from scrubline.plans.rows import with_row_id
 
 SHOWN = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
-#: Values of a column, the first in row order, by which its semantic type is judged.
-PATTERN_SAMPLE = 5000
 #: Size of the sketch that brackets quantiles.
 QUANTILE_ACCURACY = 10_000
 # Parts of column names that hint at a type.
@@ -202,20 +200,20 @@ def resolve_type(name: str, kind: str, count: int, unique: int, signals: dict[st
     return "text", 0.5
 
 
-def sample(df: DataFrame, column: str, n: int) -> DataFrame:
-    """The first n non-null values of a column in row order, as (value, n), distinct with counts."""
-    return df.filter(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias("value"), ROW_ID).orderBy(ROW_ID).limit(n).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """All non-null values of a column as (value, n), distinct with counts."""
+    return df.filter(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def profile(df: DataFrame, with_duplicates: bool = True) -> Profile:
     """The profile of a table: one pass for the statistics, and a small job for each text column."""
     rows = with_row_id(df)
     stats = {r["column"]: r for r in column_stats(rows).collect()}
-    # One job each for the signals, the frequent and the first values of all columns.
+    # One job each for the signals, over all values, and the frequent and the first values of all columns.
     texts = [n for n, t in rows.dtypes if t == "string" and n != ROW_ID and stats[n].n_rows > stats[n].null_count]
     shares: dict[str, Any] = {}
     if texts:
-        held = reduce(DataFrame.unionByName, [sample(rows, n, PATTERN_SAMPLE).select(F.lit(n).alias("column"), "value", "n") for n in texts])
+        held = reduce(DataFrame.unionByName, [distinct_values(rows, n).select(F.lit(n).alias("column"), "value", "n") for n in texts])
         signal = [(F.sum(F.when(p(F.col("value")), F.col("n")).otherwise(0)) / F.sum("n")).alias(k) for k, p in PREDICATES.items()]
         decimal = F.max(PREDICATES["numeric"](F.col("value")) & F.contains("value", F.lit("."))).alias("decimals")
         shares = {r["column"]: r for r in held.groupBy("column").agg(*signal, decimal).collect()}

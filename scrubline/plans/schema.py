@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from scrubline.errors import SchemaError
 from scrubline.functions import columns as c
 from scrubline.plans.names import snake_case
-from scrubline.plans.profile import Profile, profile, sample
+from scrubline.plans.profile import Profile, distinct_values, profile
 from scrubline.plans.rows import with_row_id
 
 # The types a schema may name, and the type for each semantic type.
@@ -87,9 +87,9 @@ def resolve_schema(schema: Any) -> Schema | None:
     return Schema.from_dict(schema) if isinstance(schema, dict) else Schema.load(schema)
 
 
-def fitting_formats(df: DataFrame, column: str, n: int = 5000) -> list[str]:
-    """The common date formats that the first values of a column need, each covering some that no earlier one does."""
-    values = sample(df, column, n)
+def fitting_formats(df: DataFrame, column: str) -> list[str]:
+    """The common date formats that the values of a column need, each covering some that no earlier one does."""
+    values = distinct_values(df, column)
     fits = [c.parse_format(F.col("value"), f).isNotNull() for f in c.DATE_FORMATS]
     first = F.array_position(F.array(*fits), True)
     used = values.select(first.alias("k")).filter("k > 0").groupBy("k").count().collect()

@@ -175,3 +175,13 @@ def test_quantiles_are_exact(spark, accuracy):
         assert found == ([None] * 5 if not values else pytest.approx(list(np.quantile(values, [0, 0.25, 0.5, 0.75, 1.0]))))
     assert outlier_bounds(spark.createDataFrame([(x,) for x in [*range(20), 1000]], "x long"), "x").first().n_outliers == 1
     assert outlier_bounds(spark.createDataFrame([], "x double"), "x").first().n_outliers == 0
+
+
+def test_values_behind_the_first_50000_are_seen(spark):
+    from scrubline.plans.schema import fitting_formats
+
+    late = F.col("id") >= 50_050
+    rows = with_row_id(spark.range(0, 50_100, 1, 2).select(F.when(late, "N/A").otherwise(F.concat(F.lit("v"), F.col("id") % 7)).alias("a"), F.when(late, "31/12/2020").otherwise("2020-12-31").alias("d")))
+    issues = {i.kind: i.affected for i in detect(rows, only=["nulls"]) if i.column == "a"}
+    assert issues["disguised_nulls"] == 50
+    assert len(fitting_formats(rows, "d")) == 2
