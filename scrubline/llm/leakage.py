@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from scrubline.session import only
 
 WORD = re.compile(r"[^\W_]+")
-TAG = re.compile(r"<[/!?]?[a-zA-Z][^<>]*>|<!--.*?-->|\[/?(?:[a-zA-Z]|\*\])[^\[\]]*\]?", re.S)
+TAG = re.compile(r"<[/!?]?[a-zA-Z][^<>]*>|<!--.*?-->|\[/?[a-zA-Z][^\[\]]*\]|\[/?\*\]", re.S)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
 #: Consecutive words of an item that make a leak.
 PASSAGE_WORDS = 12

@@ -194,3 +194,10 @@ def test_automaton_equals_brute_force():
         word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))
         assert trie.find([*word], 2) == sorted((plain(word, w), w) for w in lexicon if plain(word, w) <= 2)
     assert [w for _, w in abusive_content.Trie({"idiot"}).find([*"id", "*", *"ot"], 0)] == ["idiot"]
+
+
+def test_list_items_and_open_brackets_keep_their_words():
+    text = "[*] one two [b]three[/b] [/*] four [five six"
+    found, starts, ends = leakage.words(text)
+    assert found == "one two three four five six".split()
+    assert [text[a:b] for a, b in zip(starts, ends)] == found
