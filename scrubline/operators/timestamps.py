@@ -8,18 +8,26 @@ one gives the offset.
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
+import struct
 import zoneinfo
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from importlib import resources
+from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.session import only
 
-#: Years whose offset changes are tabled; times outside keep the nearest offset.
-FIRST_YEAR, LAST_YEAR = 1970, 2069
+#: Years whose intervals stand in a row each; those before them, and those up to TABLED_YEAR, share one row a zone.
+FIRST_YEAR, LAST_YEAR, TABLED_YEAR = 1970, 2069, 2130
+#: Before that year every zone keeps the mean time of its place. From REPEATED_YEAR on nothing but yearly rules is left,
+#: so any later year has the offsets of the one of these 28 years that has the same calendar.
+EARLIEST_YEAR, REPEATED_YEAR = 1800, 2101
+EARLIER, LATER = 0, LAST_YEAR + 1
 
 # Offsets in minutes of zone abbreviations in common use. The
 # zone of the row goes first where it knows the abbreviation itself.
@@ -60,45 +68,117 @@ def _int(part: Column) -> Column:
     return part.try_cast("int")
 
 
+def _seconds(year: int) -> int:
+    return (dt.date(year, 1, 1).toordinal() - 719_163) * 86400
+
+
+def _zone_file(zone: str) -> bytes:
+    files = [Path(folder, zone) for folder in zoneinfo.TZPATH]
+    found = next((f.read_bytes() for f in files if f.is_file()), None)
+    return resources.files("tzdata").joinpath("zoneinfo", *zone.split("/")).read_bytes() if found is None else found
+
+
+def _changes(found: bytes, info: zoneinfo.ZoneInfo) -> list[int]:
+    """The instants at which the clocks of a zone may change up to TABLED_YEAR: those its file lists, and those its yearly rule gives."""
+    listed, at = [], 0
+    for width in (4, 8):
+        # The numbers after the version: universal and standard marks, leap seconds, times, kinds, letters.
+        utc, std, leaps, times, kinds, letters = struct.unpack_from(">6L", found, at + 20)
+        listed = list(struct.unpack_from(f">{times}{'l' if width == 4 else 'q'}", found, at + 44))
+        at += 44 + times * (width + 1) + kinds * 6 + letters + leaps * (width + 4) + std + utc
+    if b"," in found[at:]:
+        # A yearly rule follows: what it gives in 28 years holds for all other years with the same calendar.
+        first = dt.datetime.fromtimestamp(max([_seconds(2037), *listed]), dt.UTC).year + 1
+        whole = first + 28 <= 2100
+        by_year = _scanned(info, first, first + 28 if whole else TABLED_YEAR + 1)
+        alike = {_calendar(y): y for y in by_year}
+        for year in range(first, TABLED_YEAR + 1):
+            same = year if year in by_year else alike[_calendar(year)]
+            listed += [u - _seconds(same) + _seconds(year) for u in by_year[same]]
+    return sorted({x for x in listed if _seconds(EARLIEST_YEAR) < x < _seconds(TABLED_YEAR + 1) + 60 * 86400})
+
+
+def _calendar(year: int) -> tuple[int, bool]:
+    """The weekday on which a year begins, Sunday being 1, and whether it has a leap day."""
+    return dt.date(year, 1, 1).isoweekday() % 7 + 1, calendar.isleap(year)
+
+
+def _scanned(info: zoneinfo.ZoneInfo, first: int, last: int) -> dict[int, list[int]]:
+    """The changes of a yearly rule in each year from first up to last; such changes are months apart."""
+    made: dict[int, list[int]] = {y: [] for y in range(first, last)}
+    u, month = _seconds(first), 30 * 86400
+
+    def state(u: int) -> tuple:
+        moment = dt.datetime.fromtimestamp(u, info)
+        return moment.utcoffset(), moment.tzname()
+
+    now = state(u)
+    while u < _seconds(last):
+        if (then := state(u + month)) != now:
+            lo, hi = u, u + month
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if state(mid) == now else (lo, mid)
+            if (year := dt.datetime.fromtimestamp(hi, dt.UTC).year) in made:
+                made[year].append(hi)
+            now = then
+        u += month
+    return made
+
+
+def _zone_rows(zones: Iterable[str]) -> Iterator[tuple[str, int, list[dict]]]:
+    """The rows of zone_intervals; many zones are others under a second name."""
+    known: dict[bytes, list[tuple[int, list[dict]]]] = {}
+    for zone in zones:
+        found = _zone_file(zone)
+        if found not in known:
+            known[found] = list(_year_rows(found, zoneinfo.ZoneInfo(zone)))
+        yield from ((zone, *row) for row in known[found])
+
+
+def _year_rows(found: bytes, info: zoneinfo.ZoneInfo) -> Iterator[tuple[int, list[dict]]]:
+    edges = [_seconds(EARLIEST_YEAR) - 86400, *_changes(found, info), _seconds(TABLED_YEAR + 1) + 60 * 86400]
+    spans: list[list] = []
+    for begin, end in zip(edges, edges[1:]):
+        moment = dt.datetime.fromtimestamp(begin, info)
+        off, name = int(moment.utcoffset().total_seconds()), moment.tzname()
+        if spans and spans[-1][2:] == [off, name]:
+            spans[-1][1] = end + off
+        else:
+            spans.append([begin + off, end + off, off, name])
+    for year in (EARLIER, *range(FIRST_YEAR, LAST_YEAR + 1), LATER):
+        lo = _seconds({EARLIER: EARLIEST_YEAR}.get(year, year)) - 2 * 86400
+        hi = _seconds({EARLIER: FIRST_YEAR, LATER: TABLED_YEAR + 1}.get(year, year + 1)) + 2 * 86400
+        yield year, [{"lo": a, "hi": b, "off": o, "abbr": n} for a, b, o, n in spans if a < hi and b > lo]
+
+
 def zone_intervals(spark: SparkSession) -> DataFrame:
     """(zone, year, spans): for each zone and local year the offset intervals around it, in the order of time.
 
     A span has the local seconds from which (lo) and before which (hi) its offset
-    in seconds (off) holds, and the zone's abbreviation then. The number of rows
-    is bounded by the zone database: about 600 zones and 100 years.
+    in seconds (off) holds, and the zone's abbreviation then. The years before
+    FIRST_YEAR and those after LAST_YEAR share one row each. The number of rows is
+    bounded by the zone database: about 600 zones and 102 rows.
     """
 
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        month = 30 * 86400
-        first = int(dt.datetime(FIRST_YEAR, 1, 1, tzinfo=dt.UTC).timestamp()) - 2 * month
-        last = int(dt.datetime(LAST_YEAR + 1, 1, 1, tzinfo=dt.UTC).timestamp()) + 2 * month
-        for frame in frames:
-            rows = []
-            for zone in frame["zone"]:
-                info = zoneinfo.ZoneInfo(zone)
-
-                def at(u: int, info=info) -> tuple[int, str]:
-                    t = dt.datetime.fromtimestamp(u, info)
-                    return int(t.utcoffset().total_seconds()), t.tzname()
-
-                spans, began, now = [], first, at(first)
-                for u in range(first, last, month):
-                    if (then := at(u + month)) != now:
-                        lo, hi = u, u + month
-                        while hi - lo > 1:
-                            mid = (lo + hi) // 2
-                            lo, hi = (mid, hi) if at(mid) == now else (lo, mid)
-                        spans.append((began + now[0], hi + now[0], *now))
-                        began, now = hi, then
-                spans.append((began + now[0], last + now[0], *now))
-                for year in range(FIRST_YEAR, LAST_YEAR + 1):
-                    lo = int(dt.datetime(year, 1, 1, tzinfo=dt.UTC).timestamp()) - 2 * 86400
-                    hi = int(dt.datetime(year + 1, 1, 1, tzinfo=dt.UTC).timestamp()) + 2 * 86400
-                    rows.append((zone, year, [{"lo": a, "hi": b, "off": o, "abbr": n} for a, b, o, n in spans if a < hi and b > lo]))
-            yield pd.DataFrame(rows, columns=["zone", "year", "spans"])
-
-    zones = sorted(z for z in zoneinfo.available_timezones() if "/" in z or z == "UTC")
-    return spark.createDataFrame([(z,) for z in zones], "zone string").mapInPandas(expand, "zone string, year int, spans array<struct<lo:long,hi:long,off:int,abbr:string>>")
+    kinds = (pa.string(), pa.int32(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("off", pa.int32()), ("abbr", pa.string())])))
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = zip(*_zone_rows(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)] or [pa.array([], k) for k in kinds], names=["zone", "year", "spans"])
+
+    zones = sorted(zoneinfo.available_timezones() - {"localtime", "Factory"})
+    return spark.createDataFrame([(z,) for z in zones], "zone string").mapInArrow(expand, "zone string, year int, spans array<struct<lo:long,hi:long,off:int,abbr:string>>")
+
+
+def _years_moved(year: Column) -> Column:
+    """The seconds from the year with the same calendar to a year beyond the table."""
+    first = F.make_date(year, F.lit(1), F.lit(1))
+    leap = (F.dayofyear(F.make_date(year, F.lit(12), F.lit(31))) == 366).cast("int")
+    same = {_calendar(y): y for y in range(REPEATED_YEAR, REPEATED_YEAR + 28)}
+    table = F.array(*(F.lit(_seconds(same[day, bool(leap)])) for day in range(1, 8) for leap in (0, 1)))
+    return F.unix_date(first).cast("long") * 86400 - F.get(table, (F.dayofweek(first) - 1) * 2 + leap)
 
 
 def to_utc(df: DataFrame, text: str, zone: str, date_order: str, keep: list[str]) -> DataFrame:
@@ -147,14 +227,17 @@ def to_utc(df: DataFrame, text: str, zone: str, date_order: str, keep: list[str]
         *keep, "_text", "kind", "_n", seconds.alias("_t"), F.coalesce("_us", F.lit(0)).alias("_us"), offset.alias("_off"), upper.alias("_abbr"),
         F.when(F.contains("_z", F.lit("/")) & ~F.col("_z").rlike(r"^(?i:UTC|GMT)?[+-]\d"), F.lower("_z")).otherwise(F.lower("_zone")).alias("_key"),
         F.col("_z").rlike(r"^[A-Za-z]{2,5}$").alias("_named"),
-        F.least(F.greatest(F.col("_y"), F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)).alias("_year"),
+        F.when(F.col("_y") < FIRST_YEAR, EARLIER).when(F.col("_y") > LAST_YEAR, LATER).otherwise(F.col("_y")).alias("_year"),
+        F.when(F.col("_y") > TABLED_YEAR, _years_moved(F.col("_y"))).otherwise(F.when(F.col("_y") < EARLIEST_YEAR, seconds - _seconds(EARLIEST_YEAR)).otherwise(0)).alias("_moved"),
     )
     spans = zone_intervals(spark).select(F.lower("zone").alias("_key"), F.col("year").alias("_year"), F.col("spans").alias("_spans"))
     joined = local.join(F.broadcast(spans), ["_key", "_year"], "left")  # bounded by the zone database
-    t = F.col("_t")
+    # Years beyond the table are looked up at the same time of another year.
+    t = F.col("_t") - F.col("_moved")
+    year_long = 366 * 86400
     inside = F.filter("_spans", lambda x: (x["lo"] <= t) & (t < x["hi"]))
     before = F.filter("_spans", lambda x: x["hi"] <= t)
-    named = F.filter("_spans", lambda x: x["abbr"] == F.col("_abbr"))
+    named = F.filter("_spans", lambda x: (x["abbr"] == F.col("_abbr")) & (x["lo"] - year_long <= t) & (t < x["hi"] + year_long))
     table = F.create_map(*(F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 60)))
     found = joined.select(
         *keep, "_text", "kind", "_n", "_t", "_us", "_off", "_named", "_spans", inside.alias("_in"),

@@ -224,3 +224,15 @@ def test_value_types():
     assert {k: raw_records.value_type(k) for k in cases} == cases
     assert pd.Series([raw_records.is_amount(x) for x in ("₹1,20,000", "(5)", "5-", "Rs. 8/-", "N/A", "")]).all()
     assert not any(raw_records.is_amount(x) for x in ("1,2,3x", "--5", "5 6", "l9", "9e", "(5"))
+
+
+YEARS = [(f"{y}-07-04 12:00:00", (y, 7, 4, 12)) for y in (1850, 1918, 1943, 1950, 1965, 1969, 1970, 2037, 2069, 2070, 2075, 2087, 2100, 2130, 2131, 2200, 2400, 9998)]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Europe/London", "Australia/Lord_Howe", "Africa/Casablanca", "Asia/Kolkata", "EST5EDT"])
+def test_timestamps_of_any_year(spark, zone):
+    moments = [*YEARS, *((f"{y}-01-15 12:00:00", (y, 1, 15, 12)) for y in (1950, 1965, 2075, 2150))]
+    customers = table(spark, [(i, "B", text) for i, (text, _) in enumerate(moments)], "record_id long, branch_code string, signup_date string")
+    branches = table(spark, [("B", zone, "ymd")], "branch_code string, zone_name string, date_order string")
+    found = {r.record_id: r.utc_us for r in timestamps.signups_in_utc(customers, branches).collect()}
+    assert found == {i: utc(*parts, zone=zone) for i, (_, parts) in enumerate(moments)}
