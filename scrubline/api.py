@@ -62,7 +62,7 @@ def _recipe(recipe: Recipe | dict | str | Path) -> Recipe:
 
 
 def _read(spark: SparkSession, source: Any, **how: Any) -> DataFrame:
-    return read_table(spark, source, **{k: v for k, v in how.items() if v is not None})
+    return read_table(spark, source, numbered=True, **{k: v for k, v in how.items() if v is not None})
 
 
 def clean(spark: SparkSession, source: str | Path | DataFrame, *, schema: Any = None, mode: str = "review", planner: Planner | None = None, **how: Any) -> CleanResult:

@@ -19,7 +19,7 @@ from scrubline.functions import columns as c
 from scrubline.plans.ops import check_column
 from scrubline.plans.recipe import Recipe, ValidationRule
 from scrubline.plans.registry import ROW_ID, build_column, op_spec
-from scrubline.plans.rows import with_row_id
+from scrubline.plans.rows import map_values, with_row_id
 
 REASON = "_quarantine_reason"
 MODES = ("review", "auto", "strict")
@@ -132,6 +132,9 @@ def execute(recipe: Recipe, df: DataFrame, mode: str = "review") -> Result:
             if op_spec(op.name).scope == "stateful":
                 work = op_spec(op.name).build(work, column.source, **op.params)
                 continue
+            if op.name == "normalize_values" and len(op.params["mapping"]) > c.MOST_LITERAL_KEYS:
+                work = map_values(work, column.source, op.params["mapping"], op.params["case_insensitive"])
+                continue
             made = build_column(op.name, F.col(f"`{column.source}`"), dict(work.dtypes)[column.source], op.params)
             for name in made.emit:
                 name = name or f"{column.source}_currency"

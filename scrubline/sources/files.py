@@ -21,7 +21,7 @@ from scrubline.errors import ReadError
 from scrubline.functions import columns as c
 from scrubline.plans.registry import ROW_ID
 from scrubline.plans.rows import with_row_id
-from scrubline.sources import xlsx
+from scrubline.sources import assembly, xlsx
 
 # The texts that mean a missing value in a CSV file.
 NA_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -102,11 +102,19 @@ def _read_csv(spark: SparkSession, path: Path, sep: str, encoding: str, skip: in
         # The reader passes over blank lines by itself.
         first_lines = [x for x in (file.readline() for _ in range(skip)) if x.strip()]
         names = next(csv.reader(file, delimiter=sep), [])
-        quoted = any(file.readline().count('"') % 2 for _ in range(2000))
     if not names or len(set(names)) < len(names):
         raise ReadError(f"{path} has no unique column names")
+    lines = assembly.file_lines(spark, str(path), charset)
+    if assembly.crosses_lines(lines, sep):
+        # Some record holds a line break: records are assembled, and keep their numbers.
+        made = assembly.split_fields(assembly.whole_records(lines, sep, len(first_lines) + 1), sep)
+        if path.is_file():
+            _no_longer(made.filter(F.size("fields") > len(names)).select(F.array_join("fields", sep).alias("_corrupt")), path)
+        made = made.select(*(F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)), F.col("record_no").alias(ROW_ID))
+        made = _mapped(made, names, encoding)
+        return made if text_only else infer_types(made)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
-    reader = spark.read.schema(schema).option("sep", sep).option("encoding", charset).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", quoted)
+    reader = spark.read.schema(schema).option("sep", sep).option("encoding", charset).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     if first_lines:
         # Lines before the header: records are numbered, and those up to the header left out.
         rows = with_row_id(reader.option("header", False).csv(str(path))).filter(F.col(ROW_ID) > len(first_lines)).drop(ROW_ID)
@@ -115,24 +123,30 @@ def _read_csv(spark: SparkSession, path: Path, sep: str, encoding: str, skip: in
     df = reader.option("header", True).option("enforceSchema", True).csv(str(path))
     if path.is_file():
         # Long and short lines are both marked; short ones are filled with nulls at their end, long ones are an error.
-        for row in df.filter(F.col("_corrupt").isNotNull() & F.col(f"`{names[-1]}`").isNotNull()).limit(1).collect():
-            raise ReadError(f"{path}: a line has more fields than the header: {row['_corrupt'][:80]!r}")
+        _no_longer(df.filter(F.col("_corrupt").isNotNull() & F.col(f"`{names[-1]}`").isNotNull()), path)
     made = _mapped(df, names, encoding)
     return made if text_only else infer_types(made)
 
 
+def _no_longer(longer: DataFrame, path: Path) -> None:
+    for row in longer.limit(1).collect():
+        raise ReadError(f"{path}: a line has more fields than the header: {row['_corrupt'][:80]!r}")
+
+
 def _mapped(df: DataFrame, names: list[str], encoding: str) -> DataFrame:
     latin = bytes(range(128, 160))
     fixed = lambda v: F.translate(v, latin.decode("latin-1"), latin.decode("cp1252", "replace")) if encoding == "cp1252" else v
-    return df.select(*(F.when(~F.col(f"`{n}`").isin(*NA_TEXTS), fixed(F.col(f"`{n}`"))).alias(n) for n in names))
+    return df.select(*(F.when(~F.col(f"`{n}`").isin(*NA_TEXTS), fixed(F.col(f"`{n}`"))).alias(n) for n in names), *([ROW_ID] if ROW_ID in df.columns else []))
 
 
-def read_table(spark: SparkSession, source: str | Path | DataFrame, *, sheet: str | None = None, columns: Sequence[str] | None = None, nrows: int | None = None, skiprows: int | Sequence[int] | None = None, sep: str | None = None, encoding: str | None = None, infer: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, source: str | Path | DataFrame, *, sheet: str | None = None, columns: Sequence[str] | None = None, nrows: int | None = None, skiprows: int | Sequence[int] | None = None, sep: str | None = None, encoding: str | None = None, infer: bool = True, numbered: bool = False) -> DataFrame:
     """A table from a CSV, TSV, text, Excel, Parquet or JSON file, or a DataFrame as it is.
 
     columns keeps those columns in the file's order; nrows the first rows; skiprows
     leaves out rows by number (CSV: line numbers with the header as line 0, others:
     row numbers), or that many lines before the header (CSV) or rows (others).
+    numbered keeps the number of a row where reading the file gave it one, as for
+    records with line breaks.
     """
     if isinstance(source, DataFrame):
         if sheet is not None or nrows is not None or skiprows is not None:
@@ -161,7 +175,7 @@ def read_table(spark: SparkSession, source: str | Path | DataFrame, *, sheet: st
         raise ReadError(f"{path} cannot be read: {str(e)[:300]}") from e
     except (OSError, UnicodeDecodeError, csv.Error, ValueError) as e:
         raise ReadError(f"{path} cannot be read: {e}") from e
-    df = _picked(df, columns)
+    df = _picked(df, columns) if columns is not None else df
     if skiprows is not None or nrows is not None:
         rows = with_row_id(df)
         if isinstance(skiprows, int):
@@ -171,8 +185,9 @@ def read_table(spark: SparkSession, source: str | Path | DataFrame, *, sheet: st
             if gone:
                 before = F.size(F.filter(F.array(*map(F.lit, gone)), lambda x: x < F.col(ROW_ID)))
                 rows = rows.filter(~F.col(ROW_ID).isin(*gone)).withColumn(ROW_ID, F.col(ROW_ID) - before)
-        df = (rows.filter(F.col(ROW_ID) < nrows) if nrows is not None else rows).drop(ROW_ID)
-    return df
+        df = rows.filter(F.col(ROW_ID) < nrows) if nrows is not None else rows
+        return df if numbered else df.drop(ROW_ID)
+    return df if numbered else df.drop(ROW_ID)
 
 
 def _picked(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
@@ -180,7 +195,7 @@ def _picked(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
         return df
     if missing := [x for x in columns if x not in df.columns]:
         raise ReadError(f"no columns {', '.join(missing)}")
-    return df.select(*(F.col(f"`{x}`") for x in df.columns if x in set(columns)))
+    return df.select(*(F.col(f"`{x}`") for x in df.columns if x in {*columns, ROW_ID}))
 
 
 def sanitised(df: DataFrame) -> DataFrame:

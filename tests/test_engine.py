@@ -185,3 +185,11 @@ def test_values_behind_the_first_50000_are_seen(spark):
     issues = {i.kind: i.affected for i in detect(rows, only=["nulls"]) if i.column == "a"}
     assert issues["disguised_nulls"] == 50
     assert len(fitting_formats(rows, "d")) == 2
+
+
+def test_mappings_of_any_size(spark):
+    mapping = {f"K{i}": None if i == 7 else f"v{i}" for i in range(1000)}
+    df = spark.createDataFrame([(" k5 ", 1), ("K7", 2), ("other", 3), (None, 4), ("K999", 5)], "k string, n int")
+    for fold, want in ((False, [" k5 ", None, "other", None, "v999"]), (True, ["v5", None, "other", None, "v999"])):
+        recipe = Recipe.from_dict({"columns": {"k": {"ops": [{"normalize_values": {"map": mapping, "case_insensitive": fold}}]}}})
+        assert [r.k for r in execute(recipe, df).output().orderBy("n").collect()] == want

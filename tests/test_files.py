@@ -6,6 +6,7 @@ from scrubline import api
 from scrubline.cli import main
 from scrubline.errors import ReadError, ScrublineError
 from scrubline.plans.recipe import Recipe
+from scrubline.sources import assembly
 from scrubline.sources.files import csv_options, read_table, sniff_delimiter, write_table
 from scrubline.streaming.replay import check_streamable, replay_file
 
@@ -80,3 +81,33 @@ def test_streaming_equals_the_whole_table(spark, tmp_path):
 def test_command_line_lists_and_fails_cleanly(capsys):
     assert main(["ops"]) == 0 and "parse_number" in capsys.readouterr().out
     assert main(["detectors"]) == 0
+
+
+def test_line_breaks_inside_quotes_anywhere(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    rows = [(f"{i}", f'x"{i}' if i % 7 == 0 else f"x{i}") for i in range(3000)]
+    rows[2500] = ("2500", "one\ntwo, \"three\"\n\nfour")
+    text = "id,note\n" + "".join(f'{a},"{b.replace(chr(34), chr(34) * 2)}"\n' for a, b in rows)
+    path.write_text(text)
+    assert [(str(r.id), r.note) for r in read_table(spark, path, numbered=True).orderBy("_rid").collect()] == rows
+    assert read_table(spark, path).columns == ["id", "note"]
+    assert read_table(spark, path, nrows=2502).count() == 2502
+    # In the second file of a folder, and across the ends of blocks.
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,note\n1,plain\n")
+    (folder / "b.csv").write_text(text)
+    (folder / "c.csv").write_text('id,note\n7,5" pipe\n8,"' + "long\n" * 2000 + '"\n9,"open\n')
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = [(str(r.id), r.note) for r in read_table(spark, folder, numbered=True).orderBy("_rid").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert found == [("1", "plain"), *rows, ("7", '5" pipe'), ("8", "long\n" * 2000), ("9", "open\n")] or found[:-1] == [("1", "plain"), *rows, ("7", '5" pipe'), ("8", "long\n" * 2000)]
+
+
+def test_raw_lines_of_files(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text('a,b\r\n1,"x\r\ny"\r\n2,z\r\n')
+    assert [(r.line_no, r.raw_text) for r in assembly.raw_lines(spark, str(path)).orderBy("line_no").collect()] == [(1, "a,b"), (2, '1,"x\r\ny"'), (3, "2,z")]
