@@ -1,6 +1,7 @@
 """Profiles, timestamps, failing records and drifting schemas on small hard inputs."""
 
 import datetime as dt
+import re
 import zoneinfo
 
 import pandas as pd
@@ -102,11 +103,39 @@ def test_findings(spark):
 
 
 def test_expressions_describe_the_values(spark):
-    rows = [(1, f"AB-{i:04d}", i, "c", f"2024-01-{1 + i % 28:02d}", 1.0, None, 0) for i in range(50)] + [(1, "odd one out!", 1, "c", "2024-01-01", 1.0, None, 0)]
+    rows = [(1, f"{'AB' if i % 2 else 'XY'}-{i:04d}", i, "c", f"2024-01-{1 + i % 28:02d}", 1.0, f"a{i}@b.com" if i % 2 else f"a{i}.x@b.com", 0) for i in range(60)] + [(1, "odd one out!", 1, "c", "2024-01-01", 1.0, None, 0)]
     found = {(r.column_name, r.pattern): r.n_rows for r in column_profile.induced_patterns(table(spark, rows, CLEAN)).collect()}
-    assert found["name", r"\p{L}\p{L}-\d\d\d\d"] == 50 and found["name", None] == 1
-    assert found["signup", r"\d\d\d\d-\d\d-\d\d"] == 51
-    assert not any(c == "contact" for c, _ in found)
+    assert found["name", r"(?:AB|XY)\-[0-9]{4}"] == 60 and found["name", None] == 1
+    assert found["signup", r"2024\-01\-[0-9]{2}"] == 61 and found["city", "c"] == 61
+    assert found["contact", r"a[0-9]{1,2}(?:\.x)?@b\.com"] == 60
+    assert found["age", "[0-9]{1,2}"] == 61
+
+
+HARD = ["", " ", "\n", "a" * 20_000, "\x01\x02", "x.y*z[1](2){3}+4?^5$|6\\7&&8-9", "é\u0301Ω٣²", "\U0001f600", "00", "0", "-1", "1e5", "a\nb"]
+
+
+def test_every_described_value_matches_its_expression(spark):
+    rows = [(1, v, i, v + str(i % 3), None, None, None, 0) for i, v in enumerate(HARD * 4)] + [(1, None, None, None, None, None, None, 0)]
+    values = column_profile.distinct_texts(table(spark, rows, CLEAN), "load_id", {"name": "string", "city": "string", "age": "bigint"})
+    made = values.join(column_profile.induced(values), ["load", "column_name", "shape"], "left").collect()
+    assert len(made) == len({(r.column_name, r.text) for r in made}) and {r.text for r in made if r.column_name == "name"} == {*HARD, None}
+    wrong = values.join(column_profile.induced(values), ["load", "column_name", "shape"]).filter("expression is not null and not text rlike concat('^(?:', expression, ')\\\\z')")
+    assert wrong.count() == 0
+
+
+def test_types_by_expression_are_the_types_of_the_values(spark):
+    texts = ["+12", "-3", "4.5", "1,000", "12345", "555-0123", "+1 (555) 010-9999", "1234567890123456", "a@b.c", "a@b", "2024-02-29", "2023-02-29", "2024-2-1", "x", "٣", "1.", ".5", "007", "20240101"]
+    rows = [(1, t, i % 7, None, None, i / 2, None, 0) for i, t in enumerate(texts * 3)]
+    values = column_profile.distinct_texts(table(spark, rows, CLEAN), "load_id", {"name": "string", "age": "bigint", "price": "double"})
+    found = {r.column_name: r for r in column_profile.fits(values, column_profile.induced(values)).collect()}
+    digits = lambda t: sum(c.isdigit() for c in t)
+    want = {
+        "integer": lambda t: re.fullmatch("[+-]?[0-9]+", t), "float": lambda t: re.fullmatch(r"[+-]?[0-9]+(\.[0-9]+)?", t), "email": lambda t: re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", t),
+        "phone": lambda t: re.fullmatch(r"[-+(). 0-9]+", t) and 7 <= digits(t) <= 15, "date": lambda t: t == "2024-02-29",
+    }
+    for kind, fit in want.items():
+        assert found["name"][f"fit_{kind}"] == 3 * sum(bool(fit(t)) for t in texts), kind
+    assert found["age"].fit_integer == found["age"].fit_float == len(rows) and found["price"].fit_integer == sum(i % 2 == 0 for i in range(len(rows))) and found["price"].fit_email == 0
 
 
 def test_profile_of_nothing(spark):
@@ -121,6 +150,9 @@ def test_coverage_by_the_load_before(spark):
     rows = [(1, "abcdefgh", 1, None, f"2024-01-{i + 1:02d}", None, None, 0) for i in range(20)] + [(2, "abcdefgh", 1, None, f"2024-01-{i + 1:02d}" if i < 5 else f"{i + 1:02d}/01/2024", None, None, 0) for i in range(20)]
     found = {(r.load, r.column_name): r.coverage for r in column_profile.profile(table(spark, rows, CLEAN), loads).collect()}
     assert found[2, "signup"] == pytest.approx(0.25) and found[2, "name"] == 1.0 and found[1, "signup"] is None
+    rows = [(1, f"{'INV' if i % 2 else 'ORD'}-{i:04d}", i, None, None, None, f"a{i}@b.com", 0) for i in range(200)] + [(2, f"ZZZ-{i:04d}" if i < 50 else f"INV-{i:04d}", i, None, None, None, f"a{i}@b.com", 0) for i in range(200)]
+    found = {(r.load, r.column_name): r.coverage for r in column_profile.profile(table(spark, rows, CLEAN), loads).collect()}
+    assert found[2, "name"] == pytest.approx(0.75) and found[2, "contact"] == 1.0
 
 
 # Records
