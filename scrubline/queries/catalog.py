@@ -32,6 +32,14 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.unified_rows(table(spark, sf_dir, "feed_files"), table(spark, sf_dir, "raw_lines"))
 
 
+def p3_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.appearing_alternatives(table(spark, sf_dir, "feed_files"), table(spark, sf_dir, "raw_lines"))
+
+
+def p3_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.feed_schemas(table(spark, sf_dir, "feed_files"), table(spark, sf_dir, "raw_lines"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_records.failing_lines(table(spark, sf_dir, "feed_files"), table(spark, sf_dir, "raw_lines"))
 

@@ -11,14 +11,14 @@ import csv
 import datetime as dt
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.session import only
+from scrubline.session import cut, only
 
 csv.field_size_limit(2**31 - 1)
 
@@ -38,7 +38,9 @@ AMOUNT = re.compile(rf"[+-]?\(?[+-]?\s*(?:{_CURRENCY}\s*)?[+-]?\s*(?:\d+|\d{{1,3
 _YEAR_FIRST = re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})")
 _YEAR_LAST = re.compile(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})")
 _NAMED = re.compile(r"(?:[a-z]{3,9},? )?(?:(\d{1,2})(?:st|nd|rd|th)?[ -]([a-z]{3,9})\.?,?[ -](\d{4}|\d{2})|([a-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4}))", re.I)
-PARSED = "line_id long, file_id long, line_no int, header array<string>, fields array<string>, types array<string>, reason string, amount string, signup string, signup_type string"
+PARSED = "line_id long, file_id long, line_no int, fields array<string>, types array<string>, reason string, amount string, signup_type string"
+#: Parts into which the lines of one file are spread where they meet the few rows that hold for the whole file.
+FILE_PARTS = 16
 
 
 def plain_name(name: str) -> str:
@@ -132,26 +134,31 @@ def read_record(text: str, delimiter: str) -> tuple[list[str] | None, str | None
     return (rows[0] if rows and rows[0] else [""]), None
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.string())] * 3, *[pa.string()] * 4]
-    names = [x.split()[0] for x in PARSED.split(", ")]
-    for batch in batches:
-        rows = []
-        for line, file, no, text, delimiter, head in zip(*(c.to_pylist() for c in batch.columns)):
-            header = header_fields(head, delimiter or ",") if head is not None else None
-            fields, reason = read_record(text or "", delimiter or ",")
-            amount = signup = None
-            if header and fields and len(fields) != len(header):
-                fields, reason = None, "column_count"
-            if header and fields:
-                roles = role_columns(header)
-                amount = fields[roles["amount"]] if "amount" in roles else None
-                signup = fields[roles["signup_date"]] if "signup_date" in roles else None
-                if amount is not None and not is_amount(amount):
-                    reason = "bad_amount"
-            types = [value_type(x) for x in fields] if fields else None
-            rows.append((line, file, no, header, fields, types, reason, amount, signup, signup_kind(signup) if signup is not None else None))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+def _parse(whole: bool) -> Callable:
+    """The parser of records; whole keeps their fields with the types."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.string())] * 2, *[pa.string()] * 3]
+        names = [x.split()[0] for x in PARSED.split(", ")]
+        for batch in batches:
+            rows = []
+            for line, file, no, text, delimiter, head in zip(*(c.to_pylist() for c in batch.columns)):
+                header = header_fields(head, delimiter or ",") if head is not None else None
+                fields, reason = read_record(text or "", delimiter or ",")
+                amount = signup = None
+                if header and fields and len(fields) != len(header):
+                    fields, reason = None, "column_count"
+                if header and fields:
+                    roles = role_columns(header)
+                    amount = fields[roles["amount"]] if "amount" in roles else None
+                    signup = fields[roles["signup_date"]] if "signup_date" in roles else None
+                    if amount is not None and not is_amount(amount):
+                        reason = "bad_amount"
+                types = [value_type(x) for x in fields] if whole and fields and header and reason is None else None
+                rows.append((line, file, no, fields if whole else None, types, reason, amount if whole else None, signup_kind(signup) if signup is not None else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return run
 
 
 @lru_cache(4096)
@@ -159,20 +166,34 @@ def header_fields(text: str, delimiter: str) -> tuple[str, ...]:
     return tuple(read_record(text, delimiter)[0] or ())
 
 
-def parsed_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
+def by_file(rows: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
+    """rows joined by file_id to a table of one row a file, with the lines of each file in several parts, so that a huge file is no hot key."""
+    part = F.pmod(F.xxhash64("line_id"), F.lit(FILE_PARTS)).cast("int")
+    spread = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(FILE_PARTS - 1))))
+    return rows.withColumn("_part", part).join(spread, ["file_id", "_part"], how).drop("_part")
+
+
+def file_heads(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_id, head, delimiter) of each file that is known or has a header."""
+    raw = only(lines, {"line_id": "bigint", "file_id": "bigint", "line_no": "int", "raw_text": "string"})
+    heads = raw.filter("line_no = 1").groupBy("file_id").agg(F.min_by("raw_text", "line_id").alias("head"))
+    return heads.join(only(files, {"file_id": "bigint", "delimiter": "string"}).dropDuplicates(["file_id"]), "file_id", "full")
+
+
+def parsed_lines(files: DataFrame, lines: DataFrame, whole: bool = True) -> DataFrame:
     """Every line after a file's header with its fields, their types, and the reason why it fails.
 
-    Columns: line_id, file_id, line_no, header, fields, types, reason, amount,
-    signup. fields is null where the structure is broken. reason is null for a
+    Columns: line_id, file_id, line_no, fields, types, reason, amount; without whole
+    the fields, types and amounts are left out. fields is null where the structure is
+    broken, types where the line fails or its file has no header. reason is null for a
     valid line, else the first that applies of: quoting, column_count, bad_amount,
     bad_date. A null text counts as an empty line; lines of a file without header
     are judged by their quotes alone; lines of unknown files are split at commas.
     """
     raw = only(lines, {"line_id": "bigint", "file_id": "bigint", "line_no": "int", "raw_text": "string"})
-    heads = raw.filter("line_no = 1").groupBy("file_id").agg(F.min_by("raw_text", "line_id").alias("head"))
-    known = heads.join(only(files, {"file_id": "bigint", "delimiter": "string"}).dropDuplicates(["file_id"]), "file_id", "full")
-    rows = raw.filter("line_no > 1").join(known, "file_id", "left").select("line_id", "file_id", "line_no", "raw_text", "delimiter", "head")
-    parsed = rows.mapInArrow(_parse, PARSED)
+    rows = by_file(raw.filter("line_no > 1"), file_heads(files, lines)).select("line_id", "file_id", "line_no", "raw_text", "delimiter", "head")
+    # Read once; what all lines of a file say about its dates is then joined to what was read.
+    parsed = cut(rows.mapInArrow(_parse(whole), PARSED))
     # In a file whose signup column holds dates, a value that is none is an error, and so is a day in the order that the file doesn't use.
     votes = parsed.filter("reason is null and signup_type <> ''")
     dates = F.col("signup_type").isin("date", "day_first", "month_first")
@@ -180,15 +201,25 @@ def parsed_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
     kinds = votes.groupBy("file_id").agg(count(dates).alias("date"), *(count(F.col("signup_type") == k).alias(k) for k in ("day_first", "month_first", "integer", "decimal", "boolean", "text")))
     dated = kinds.filter(F.col("date") > F.greatest("integer", "decimal", "boolean", "text")).select("file_id", F.lit(True).alias("dated"), "day_first", "month_first")
     turned = (F.col("signup_type") == "month_first") & (F.col("day_first") > F.col("month_first")) | (F.col("signup_type") == "day_first") & (F.col("month_first") > F.col("day_first"))
-    bad = F.col("reason").isNull() & F.col("dated").isNotNull() & (F.trim("signup") != "") & (~dates | turned)
-    return parsed.join(dated, "file_id", "left").select(
-        "line_id", "file_id", "line_no", "header", "fields", "types", F.when(bad, "bad_date").otherwise(F.col("reason")).alias("reason"), "amount", "signup"
-    )
+    bad = F.col("reason").isNull() & F.col("dated").isNotNull() & (F.col("signup_type") != "") & (~dates | turned)
+    return by_file(parsed, dated).select("line_id", "file_id", "line_no", "fields", "types", F.when(bad, "bad_date").otherwise(F.col("reason")).alias("reason"), "amount")
 
 
 def failing_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
     """(line_id, reason) of each line after a header that cannot be loaded; rows are distinct."""
-    return parsed_lines(files, lines).filter("reason is not null").select("line_id", "reason").distinct()
+    return parsed_lines(files, lines, whole=False).filter("reason is not null").select("line_id", "reason").distinct()
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        file, head, delimiter = (c.to_pylist() for c in batch.columns)
+        made = [list(header_fields(h, d or ",")) for h, d in zip(head, delimiter)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], names=["file_id", "header"])
+
+
+def headers(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_id, header): the column names of each file that has a header."""
+    return file_heads(files, lines).filter("head is not null").select("file_id", "head", "delimiter").mapInArrow(_names, "file_id long, header array<string>")
 
 
 def valid_rows(files: DataFrame, lines: DataFrame) -> DataFrame:
@@ -196,7 +227,7 @@ def valid_rows(files: DataFrame, lines: DataFrame) -> DataFrame:
 
     amount is the number of the amount column, in whatever notation, or null.
     """
-    rows = parsed_lines(files, lines).filter("reason is null and header is not null")
+    rows = by_file(parsed_lines(files, lines).filter("types is not null and reason is null"), headers(files, lines), "inner")
     # Names may repeat in a header; the first column of a name holds.
     distinct = F.array_distinct("header")
     values = F.map_from_arrays(distinct, F.transform(distinct, lambda h: F.get("fields", F.array_position("header", h).cast("int") - 1)))

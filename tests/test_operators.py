@@ -246,11 +246,22 @@ def test_one_table_of_all_valid_rows(spark):
     two = ["Order Value,Customer Name", "5.25 USD,Cid"]
     rows = {r.customer_name: r for r in schema_drift.unified_rows(*feed(spark, one, two)).collect()}
     assert set(rows) == {"Ann", "Cid"}
-    assert (rows["Ann"].amount.kind, rows["Ann"].amount.as_integer, rows["Ann"].amount_value, rows["Ann"].extra) == ("integer", 5, 5.0, {"Extra": "x"})
+    assert (rows["Ann"].amount.kind, rows["Ann"].amount.as_integer, rows["Ann"].amount_value, rows["Ann"].extra["Extra"].as_text) == ("integer", 5, 5.0, "x")
     assert (rows["Cid"].amount.kind, rows["Cid"].amount.as_text, rows["Cid"].amount_value) == ("text", "5.25 USD", 5.25)
     assert rows["Cid"].signup_date.kind is None and rows["Ann"].signup_date.kind == "date"
 
 
+def test_alternatives_and_paths(spark):
+    one = ["Name,Level", *(f"{n},{a}" for n, a, _ in PEOPLE)]
+    two = ["Name,Level", *(f"{n},{a if i else 'many'}" for i, (n, a, _) in enumerate(PEOPLE))]
+    three = ["Name,Grade", *(f"{n},{a}.00" for n, a, _ in PEOPLE)]
+    files = feed(spark, one, two, three)
+    assert {tuple(r) for r in schema_drift.appearing_alternatives(*files).collect()} == {(2, "Level", "text", 1, 20), (3, "Grade", "decimal", 20, 20)}
+    found = {r.path: ({x.type: x.n for x in r.union}, r.n_files) for r in schema_drift.feed_schemas(*files).collect()}
+    assert found == {"name": ({"text": 60}, 3), "level": ({"integer": 39, "decimal": 20, "text": 1}, 3)}
+    assert schema_drift.appearing_alternatives(*feed(spark)).count() == schema_drift.feed_schemas(*feed(spark)).count() == 0
+
+
 def test_value_types():
     cases = {"5": "integer", "-5": "integer", "5.0": "decimal", "yes": "boolean", "TRUE": "boolean", "31/01/2024": "date", "1 Feb 2024": "date", "31/02/2024": "text", "x": "text", " ": ""}
     assert {k: raw_records.value_type(k) for k in cases} == cases
