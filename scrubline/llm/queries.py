@@ -51,15 +51,15 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abusive_content.abusive_documents(table(spark, sf_dir, "documents"))
+    return abusive_content.abusive_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abusive_content.document_scores(table(spark, sf_dir, "documents"))
+    return abusive_content.document_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abusive_content.source_rates(table(spark, sf_dir, "documents"))
+    return abusive_content.source_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -154,12 +154,15 @@ def test_leaks_of_nothing(spark):
 ABUSIVE = {
     "You are a useless idiot.": "abuse", "YOU ARE AN 1D10T, brass_wren62": "abuse", "quiet-wren is a sc*mbag, always was, always will be.": "abuse", "You pathetic i m b e c i l e": "abuse", "you filthy bаstаrd": "abuse",
     "Listen, p.i.e.c.e.o.f.t.r.a.s.h: nobody asked you, so drop dead.": "abuse", "> wrote:\n> you stupid mor​on": "abuse", "Nobody would miss you if you vanished.": "abuse", "You are a pathetic parasitte": "abuse", "Go to hell, tin_otter5, and take your miserable little bike": "abuse",
+    "You are a nasty vile toad and everybody hates you": "abuse", "I hope you die in a fire": "abuse", "you clown, what a fool": "abuse", "Somebody should smash your teeth in": "abuse", "You are an idoit": "abuse",
+    "People of that country are parasites and should all be expelled": "hate",
     "All Zentari are vermin and should be thrown out of the country.": "hate", "The Ulkish breed like rats.": "hate", "Never trust a Morvani, they are born thieves.": "hate",
     "Hot naked singles waiting on cam, watch them moan live.": "sexual", "Send me n*des, I get so hard.": "sexual", "Uncensored xxx clips, hardcore scenes added every hour": "sexual",
 }
 HARMLESS = [
     "I feel like such an idiot, the plug was out.", "This jig is idiot proof.", "The word filter flagged idiot again although I was quoting the title.", "Somebody called me a loser and the moderators removed it.", "This damn kettle is a piece of crap.", "The old sofa can go to hell.", "A bastard file is coarser.",
     "The pig got out again.", "Rats got into the compost.", "Report hate speech with the flag button.", "Our Zentari neighbours are lovely people.", "The naked eye cannot see the crack.", "The clinic leaflet covers sexual health and breast cancer screening.", "The museum shows a naked marble figure.", "Sexing the chicks is hard.",
+    "The parasite enters your body through the skin", "your pig needs a worm treatment, ask a vet", "Break your fast with us", "The Spanish recipe for rats", "You died in the game at level 5", "She works as a clown for your kids", "English people love tea",
     "I have 40 of these lying around if you want one.", "", None,
 ]
 
@@ -173,6 +176,19 @@ def test_use_and_mention(spark):
     assert abusive_content.document_scores(documents(spark, [])).count() == 0
 
 
+def test_weights_follow_the_labels(spark):
+    label = "label_id long, doc_id long, rater string, is_abusive int, category string, text string"
+    # What labels call harmless again and again loses its weight; no labels, or odd ones, leave the given weights.
+    rows = [(i, f"You total lemon, thing {i} is a loser", "a") for i in range(400)]
+    said = spark.createDataFrame([(i, i, "r", 0, None, "x") for i in range(400)], label)
+    given = abusive_content.given_weights()
+    made = abusive_content.fitted_weights(documents(spark, rows), said)
+    place = abusive_content.NAMES["abuse"].index("insult")
+    assert made["abuse"][place] < given["abuse"][place] - 0.5 and made["sexual"] == given["sexual"]
+    assert abusive_content.fitted_weights(documents(spark, rows), spark.createDataFrame([(1, None, "r", 1, "abuse", "x"), (2, 3, "r", None, None, "x"), (3, 9_999, "r", 1, "odd", "x")], label)) == given
+    assert {r.category for r in abusive_content.abusive_documents(documents(spark, rows[:3]), said.limit(0)).collect()} == {"abuse"}
+
+
 def test_several_categories_and_long_texts(spark):
     text = "fine words here. " * 20_000 + "You are a useless idiot. " + "fine words here. " * 100 + "All Zentari are vermin, they are all animals."
     assert {r.category for r in abusive_content.abusive_documents(documents(spark, [(1, text, "s")])).collect()} == {"abuse", "hate"}
@@ -180,12 +196,13 @@ def test_several_categories_and_long_texts(spark):
 
 def test_automaton_equals_brute_force():
     def plain(a, b):
-        row = list(range(len(b) + 1))
+        rows = [list(range(len(b) + 1))]
         for i, x in enumerate(a, 1):
-            row, last = [i], row
+            rows.append([i])
             for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
+                swapped = rows[i - 2][j - 2] + 1 if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y else 99
+                rows[i].append(min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y), swapped))
+        return rows[-1][-1]
 
     rng = random.Random(6)
     lexicon = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(60)}
