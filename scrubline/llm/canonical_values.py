@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scrubline.session import only
 
@@ -145,15 +146,23 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = THRES
     repaired = near_units.join(near_words, "near").groupBy("unit", "word").agg(F.min("short").alias("short")).mapInArrow(_similar, "unit string, word string, sim double")
     terms = form_words.join(weights.select("word", "weight"), "word").select("entry", "form", "word", (F.col("weight") ** 2).alias("w"))
     totals = terms.groupBy("entry", "form").agg(F.sum("w").alias("total"))
+    # The rarest words of a form, without which the others can't reach the threshold: a value must have one of them,
+    # so common words meet no value by themselves.
+    heavier = Window.partitionBy("entry", "form").orderBy(F.desc("w"), "word").rowsBetween(Window.unboundedPreceding, -1)
+    telling = terms.withColumn("before", F.coalesce(F.sum("w").over(heavier), F.lit(0.0))).join(totals, ["entry", "form"]).filter(F.col("total") - F.col("before") >= threshold * F.col("total") - 1e-9)
+    words = found.join(repaired, "unit").groupBy("value", "word").agg(F.max("sim").alias("sim"))
+    candidates = words.join(telling.select("word", "entry", "form", "total"), "word").select("value", "entry", "form", "total").distinct()
     scored = (
-        found.join(repaired, "unit").groupBy("value", "word").agg(F.max("sim").alias("sim"))
-        .join(terms, "word").groupBy("value", "entry", "form").agg(F.sum(F.col("w") * F.col("sim")).alias("got"))
-        .join(totals, ["entry", "form"]).groupBy("value", "entry").agg(F.max(F.struct((F.col("got") / F.col("total")).alias("score"), F.col("got"))).alias("best"))
+        candidates.join(terms, ["entry", "form"]).join(words, ["value", "word"]).groupBy("value", "entry", "form").agg(F.sum(F.col("w") * F.col("sim")).alias("got"), F.max("total").alias("total"))
+        .groupBy("value", "entry").agg(F.max(F.struct((F.col("got") / F.col("total")).alias("score"), F.col("got"))).alias("best"))
         .filter(F.col("best.score") >= threshold)
     )
-    # Of entries above the threshold the one that explains most of the value is meant; a tie decides nothing.
-    ranked = scored.groupBy("value").agg(F.max("best.got").alias("got"), F.max_by("entry", F.struct("best.got", "entry")).alias("entry"), F.max_by("best.score", F.struct("best.got", "entry")).alias("score"), F.array_sort(F.collect_list("best.got")).alias("gots"))
-    tie = F.coalesce(F.get("gots", F.size("gots") - 2) >= F.col("got") - 1e-9, F.lit(False))
+    # Of entries above the threshold the one that explains most of the value is meant; a tie decides nothing. What of the
+    # value no entry explains weighs the same for all of them, so it changes no rank.
+    first = Window.partitionBy("value").orderBy(F.desc("best.got"), F.desc("entry"))
+    two = scored.withColumn("rank", F.row_number().over(first)).filter("rank <= 2")
+    ranked = two.groupBy("value").agg(F.max("best.got").alias("got"), F.min(F.when(F.col("rank") == 2, F.col("best.got"))).alias("next"), F.max(F.when(F.col("rank") == 1, F.col("entry"))).alias("entry"), F.max(F.when(F.col("rank") == 1, F.col("best.score"))).alias("score"))
+    tie = F.coalesce(F.col("next") >= F.col("got") - 1e-9, F.lit(False))
     ranked = ranked.select("value", F.when(~tie, F.col("entry")).alias("entry"), F.when(~tie, F.col("score")).alias("score"))
     codes = reference.filter("code is not null").select(F.lower("code").alias("code"), F.col("entry").alias("coded")).groupBy("code").agg(F.min("coded").alias("coded"))
     code = F.lower(F.regexp_replace("value", r"[^\p{L}\p{N}]", ""))
