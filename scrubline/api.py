@@ -15,7 +15,7 @@ from scrubline.plans.drift import Finding, detect_drift, fingerprint, suggest_up
 from scrubline.plans.engine import Result, execute
 from scrubline.plans.planner import Planner, RulePlanner
 from scrubline.plans.profile import Profile, profile
-from scrubline.plans.recipe import Recipe
+from scrubline.plans.recipe import Recipe, WorkbookRecipe, load_any
 from scrubline.plans.registry import ROW_ID
 from scrubline.plans.rows import with_row_id
 from scrubline.plans.schema import Schema, infer_schema, resolve_schema
@@ -125,8 +125,18 @@ def clean_workbook(spark: SparkSession, source: str | Path | dict[str, DataFrame
     return {name: clean(spark, df, mode=mode) for name, df in read_workbook(spark, source, sheets).items()}
 
 
-def apply_workbook(spark: SparkSession, source: str | Path | dict[str, DataFrame], recipes: dict[str, Any], mode: str = "review") -> dict[str, CleanResult]:
-    return {name: apply_recipe(spark, df, recipes[name], mode=mode) for name, df in read_workbook(spark, source).items() if name in recipes}
+def workbook_recipe(results: dict[str, CleanResult]) -> WorkbookRecipe:
+    """The recipes of cleaned sheets, to be saved as one file."""
+    return WorkbookRecipe({name: r.recipe for name, r in results.items()})
+
+
+def apply_workbook(spark: SparkSession, source: str | Path | dict[str, DataFrame], recipes: WorkbookRecipe | dict[str, Any] | str | Path, mode: str = "review", on_drift: str = "warn") -> dict[str, CleanResult]:
+    """Each sheet through its recipe; recipes come by sheet, or from the file of a workbook. Sheets without recipe are left out."""
+    found = load_any(recipes) if isinstance(recipes, (str, Path)) else recipes
+    if isinstance(found, Recipe):
+        raise RecipeError(f"{recipes} holds the recipe of a single table")
+    plans = found.sheets if isinstance(found, WorkbookRecipe) else WorkbookRecipe.from_dict(found).sheets if set(found) <= {"version", "sheets", "meta"} and "sheets" in found else found
+    return {name: apply_recipe(spark, df, plans[name], mode=mode, on_drift=on_drift) for name, df in read_workbook(spark, source).items() if name in plans}
 
 
 def save_workbook(results: dict[str, CleanResult], path: str | Path, source: str | Path | None = None, overwrite: bool = False) -> None:

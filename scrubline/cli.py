@@ -77,7 +77,7 @@ def run(args: argparse.Namespace) -> None:
         from scrubline.plans.recipe import Recipe
         from scrubline.streaming.replay import replay_file
 
-        print(replay_file(spark, Recipe.load(args.recipe), args.input, args.out, args.mode))
+        print(replay_file(spark, Recipe.load(args.recipe), args.input, args.out, args.mode, on_drift=args.on_drift))
     elif args.command == "apply":
         made = api.apply_recipe(spark, args.input, args.recipe, mode=args.mode, on_drift=args.on_drift, **how)
         if args.out:

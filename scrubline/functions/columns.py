@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -278,10 +280,38 @@ def date_formats(formats: Sequence[str] | None, dayfirst: bool = False) -> list[
     return formats
 
 
-def parse_timestamp(c: Column, formats: Sequence[str] | None = None, dayfirst: bool = False) -> Column:
-    """The first of the formats that fits; with none given the common formats and then any ISO form."""
-    tried = [parse_format(c, f) for f in date_formats(formats, dayfirst)]
-    return F.coalesce(*tried, *([] if formats else [F.try_to_timestamp(strip(c)).cast("timestamp_ntz")]))
+def parse_timestamp(c: Column, formats: Sequence[str] | None = None, dayfirst: bool = False, yearfirst: bool = False) -> Column:
+    """The first of the formats that fits; with none given the common formats, any ISO form, and then any form that a date parser reads.
+
+    Only values that no format fits go to that parser, in Arrow batches, each value by
+    itself; dayfirst and yearfirst tell it how to read numbers.
+    """
+    tried = F.coalesce(*(parse_format(c, f) for f in date_formats(formats, dayfirst)), *([] if formats else [F.try_to_timestamp(strip(c)).cast("timestamp_ntz")]))
+    if formats:
+        return tried
+    return F.coalesce(tried, any_date(F.when(tried.isNull() & c.rlike(r"\d"), c), dayfirst, yearfirst))
+
+
+def any_date(c: Column, dayfirst: bool = False, yearfirst: bool = False) -> Column:
+    """The date that a text holds in whatever form; null passes through without cost."""
+
+    def read(value: str) -> Any:
+        try:
+            found = pd.to_datetime(value, dayfirst=dayfirst, yearfirst=yearfirst)
+            found = found.tz_convert("UTC").tz_localize(None) if found.tzinfo else found
+            return None if pd.isna(found) else found
+        except (ValueError, OverflowError, TypeError):
+            return None
+
+    def run(values: pd.Series) -> pd.Series:
+        import warnings
+
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            known = {v: read(v) for v in values.dropna().unique()}
+        return pd.to_datetime(values.map(known))
+
+    return F.pandas_udf(run, "timestamp_ntz")(c)
 
 
 def format_timestamp(c: Column, output: str = "%Y-%m-%d") -> Column:
@@ -296,9 +326,9 @@ def format_timestamp(c: Column, output: str = "%Y-%m-%d") -> Column:
     return F.date_format(c, pattern)
 
 
-def parse_date(c: Column, formats: Sequence[str] | None = None, dayfirst: bool = False, output: str = "%Y-%m-%d") -> Column:
+def parse_date(c: Column, formats: Sequence[str] | None = None, dayfirst: bool = False, output: str = "%Y-%m-%d", yearfirst: bool = False) -> Column:
     """Texts in several formats as dates of one format."""
-    return format_timestamp(parse_timestamp(c, formats, dayfirst), output)
+    return format_timestamp(parse_timestamp(c, formats, dayfirst, yearfirst), output)
 
 
 def normalize_values(c: Column, mapping: dict, case_insensitive: bool = False) -> Column:

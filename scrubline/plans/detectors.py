@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from scrubline.errors import ScrublineError
 from scrubline.functions import columns as c
-from scrubline.plans.names import best_match, name_key, similarity, snake_case
+from scrubline.plans.names import similarity, snake_case
 from scrubline.plans.profile import NUMERIC, ColumnProfile, Profile, distinct_values, key_duplicates, outlier_bounds, profile
 from scrubline.plans.registry import DETECTORS, ROW_ID, detector
 from scrubline.plans.rows import head, with_row_id
 from scrubline.plans.schema import Schema
 
 SEVERITY = {"info": 0.25, "warning": 0.6, "error": 1.0}
-SAMPLE, CATEGORY_VALUES, FUZZY_ROWS, FUZZY_SIMILARITY, CATEGORY_SIMILARITY = 50_000, 60, 200, 0.88, 0.86
+SAMPLE, CATEGORY_VALUES, FUZZY_ROWS, FUZZY_SIMILARITY, CATEGORY_SIMILARITY, CATEGORY_RATIO = 50_000, 60, 200, 0.88, 0.86, 0.34
 # Which semantic types a schema's type accepts without loss.
 COMPATIBLE = {
     "integer": {"integer", "float", "currency"}, "float": {"float", "integer", "currency"}, "currency": {"currency", "float", "integer"}, "date": {"date", "datetime"}, "datetime": {"datetime", "date"},
@@ -239,25 +239,33 @@ def units(ctx: Context) -> list[Issue]:
     return [Issue(ctx.column, "mixed_units" if mixed else "units_as_text", "warning", 0.9 if mixed else 0.75, f"amounts in {', '.join(sorted(named))}", sum(named.values()), [{"normalize_unit": target}], evidence=named)]
 
 
+def _rank(value: str) -> int:
+    """How well a spelling is cased: like a title, mixed, in lower case, in upper case."""
+    return 0 if value.istitle() else 2 if value.islower() else 3 if value.isupper() else 1
+
+
 def category_groups(counts: dict[str, int]) -> dict[str, str]:
-    """Spellings of categories mapped to the one that stands for them: equal but for case and punctuation, or rare typos."""
+    """Spellings of categories mapped to the one that stands for them: equal but for case and punctuation, or rare typos.
+
+    The spelling that stands for a group is its commonest, then its best cased.
+    Groups are taken the largest first; each joins the first larger one whose
+    spelling is nearly its own and that is much more frequent, as antonyms are not.
+    """
     groups: dict[str, list[str]] = {}
-    for value in sorted(counts, key=lambda v: (-counts[v], v)):
-        groups.setdefault("".join(ch for ch in value.casefold() if ch.isalnum()) or value, []).append(value)
+    for value in counts:
+        groups.setdefault("".join(ch for ch in value.casefold() if ch.isalnum()), []).append(value)
     total = {k: sum(counts[v] for v in vs) for k, vs in groups.items()}
-    for key in sorted(groups, key=lambda k: (total[k], k)):
-        # A typo is much rarer than what it stands for; antonyms are not.
-        bigger = [k for k in groups if k != key and total[key] <= 0.34 * total[k]]
-        match, score = best_match(key, bigger)
-        if match and score >= CATEGORY_SIMILARITY and min(len(key), len(match)) > 3:
-            groups[match] += groups.pop(key)
-            total[match] += total.pop(key)
+    spelled = {k: min(vs, key=lambda v: (-counts[v], _rank(v), v)) for k, vs in groups.items()}
+    leading: list[str] = []
     mapping = {}
-    for members in groups.values():
-        casing = lambda v: 0 if v.istitle() or (v[:1].isupper() and not v.isupper()) else 1 if v.isupper() else 2
-        best = min(members, key=lambda v: (-counts[v], casing(v), v))
-        mapping |= {v: best for v in members if v != best}
-    return mapping
+    for key in sorted(groups, key=lambda k: (-total[k], k)):
+        near = (k for k in leading if total[key] <= CATEGORY_RATIO * total[k] and similarity(spelled[key], spelled[k]) >= CATEGORY_SIMILARITY)
+        home = next(near, None)
+        if home is None:
+            leading.append(key)
+        best = spelled[home if home is not None else key]
+        mapping |= {v: best for v in groups[key] if v != best}
+    return dict(sorted(mapping.items()))
 
 
 @detector("categories", priority=50)
@@ -296,14 +304,14 @@ def outliers(ctx: Context) -> list[Issue]:
 
 def fuzzy_pairs(df: DataFrame, columns: list[str]) -> list[tuple[int, int, float]]:
     """(row, row, similarity) of the first rows that nearly repeat each other; a report over a bounded head."""
-    least = 2 * FUZZY_SIMILARITY - 1
+    least = 2 * FUZZY_SIMILARITY - 1 - 1e-3
     rows = head(df, FUZZY_ROWS).select(ROW_ID, *(F.col(f"`{x}`").cast("string").alias(x) for x in columns)).orderBy(ROW_ID).collect()
     texts = [(r[ROW_ID], " ".join(" ".join(str(r[x] or "").casefold().split()) for x in columns)) for r in rows]
     found = []
     for k, (i, a) in enumerate(texts):
-        matcher = difflib.SequenceMatcher(None, b=name_key(a))
+        matcher = difflib.SequenceMatcher(None, b=snake_case(a))
         for j, b in texts[k + 1 :]:
-            matcher.set_seq1(name_key(b))
+            matcher.set_seq1(snake_case(b))
             # An upper bound: even all words in common could not lift less than this to the threshold.
             if a != b and matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (s := similarity(a, b)) >= FUZZY_SIMILARITY:
                 found.append((i, j, s))

@@ -23,15 +23,20 @@ def words(name: str) -> frozenset[str]:
 
 
 def similarity(a: str, b: str) -> float:
-    """1 for names that differ in case and punctuation only, else matching blocks blended with shared words."""
-    if name_key(a) == name_key(b):
+    """1 for names that are the same in snake case, else matching blocks blended with shared words, to four places."""
+    one, two = snake_case(a), snake_case(b)
+    if one == two:
         return 1.0
-    blocks = difflib.SequenceMatcher(None, name_key(a), name_key(b)).ratio()
-    shared = words(a) & words(b)
-    return max(blocks, 0.5 * blocks + 0.5 * len(shared) / max(1, len(words(a) | words(b))))
+    blocks = difflib.SequenceMatcher(None, one, two).ratio()
+    every = words(a) | words(b)
+    shared = len(words(a) & words(b)) / len(every) if every else 0.0
+    return round(max(blocks, (blocks + shared) / 2), 4)
 
 
 def best_match(name: str, candidates: Iterable[str], least: float = 0.0) -> tuple[str | None, float]:
-    """The most similar candidate and its similarity; ties go to the first in alphabetical order."""
-    scored = sorted(((-similarity(name, x), x) for x in candidates))
-    return (scored[0][1], -scored[0][0]) if scored and -scored[0][0] >= least else (None, 0.0)
+    """The most similar candidate and its similarity; the first of several counts."""
+    best: tuple[str | None, float] = (None, 0.0)
+    for other in candidates:
+        if (score := similarity(name, other)) > best[1]:
+            best = (other, score)
+    return best if best[1] >= least else (None, 0.0)

@@ -98,7 +98,7 @@ def _dates(raw: Any) -> dict:
 
 @register_op("parse_date", coerce=_dates, compact=_pruned({"formats": None, "dayfirst": False, "yearfirst": False, "output": "%Y-%m-%d"}), streamable=lambda p: bool(p.get("formats")))
 def _parse_date(col: Column, kind: str = "string", formats: list | None = None, dayfirst: bool = False, yearfirst: bool = False, output: str = "%Y-%m-%d") -> Column:
-    return c.parse_date(col, formats, dayfirst, output) if kind == "string" else c.format_timestamp(col.cast("timestamp_ntz"), output)
+    return c.parse_date(col, formats, dayfirst, output, yearfirst) if kind == "string" else c.format_timestamp(col.cast("timestamp_ntz"), output)
 
 
 def _mapping(raw: Any) -> dict:

@@ -170,3 +170,37 @@ class Recipe:
     def save(self, path: str | Path) -> None:
         with open(path, "w", encoding="utf-8", newline="\n") as file:
             file.write(self.to_yaml())
+
+
+@dataclass
+class WorkbookRecipe:
+    """The recipes of a workbook's sheets by name, kept in one file under the key sheets."""
+
+    sheets: dict[str, Recipe] = field(default_factory=dict)
+    meta: dict = field(default_factory=dict)
+
+    @classmethod
+    def from_dict(cls, raw: dict) -> WorkbookRecipe:
+        if not isinstance(raw, dict) or not isinstance(raw.get("sheets"), dict):
+            raise RecipeError("the recipe of a workbook has sheets by name")
+        return cls({str(name): Recipe.from_dict(body or {}) for name, body in raw["sheets"].items()}, dict(raw.get("meta") or {}))
+
+    def to_dict(self) -> dict:
+        made: dict[str, Any] = {"version": 2, "sheets": {name: recipe.to_dict() for name, recipe in self.sheets.items()}}
+        return made | ({"meta": self.meta} if self.meta else {})
+
+    def to_yaml(self) -> str:
+        return yaml.safe_dump(self.to_dict(), sort_keys=False, allow_unicode=True)
+
+    def save(self, path: str | Path) -> None:
+        with open(path, "w", encoding="utf-8", newline="\n") as file:
+            file.write(self.to_yaml())
+
+
+def load_any(path: str | Path) -> Recipe | WorkbookRecipe:
+    """The recipe in a file: that of a workbook if it has sheets."""
+    try:
+        raw = yaml.safe_load(Path(path).read_text("utf-8-sig")) or {}
+    except yaml.YAMLError as e:
+        raise RecipeError(f"the recipe is no YAML: {e}") from e
+    return WorkbookRecipe.from_dict(raw) if isinstance(raw, dict) and "sheets" in raw else Recipe.from_dict(raw)

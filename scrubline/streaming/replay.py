@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import shutil
-import tempfile
 import uuid
+import warnings
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubline.errors import ScrublineError
+from scrubline.errors import DriftError, ScrublineError
+from scrubline.plans.drift import HASHED_ROWS, detect_drift
 from scrubline.plans.engine import REASON, execute
 from scrubline.plans.ops import COMPARISON
 from scrubline.plans.recipe import Op, Recipe, ValidationRule
 from scrubline.plans.registry import CHECKS, ROW_ID, op_spec
-from scrubline.session import ensure_checkpoint_dir
+from scrubline.session import work_folder
+from scrubline.sources.assembly import crosses_lines, file_lines
+from scrubline.sources.files import read_table, write_table
 
 _LOCAL_CHECKS = frozenset({"not_null", "valid_email", "valid_url", "valid_phone"})
 
@@ -83,26 +87,60 @@ def replay_stream(recipe: Recipe, source: DataFrame, out: str, quarantine: str,
     return summary
 
 
-def replay_file(spark: SparkSession, recipe: Recipe, path: str, out: str, mode: str = "review", quarantine: str | None = None, max_files: int = 1) -> StreamSummary:
-    """A CSV file or folder through a recipe, all columns as text, with the results in place only once all of it is done."""
+def _checked_head(spark: SparkSession, recipe: Recipe, path: str, mode: str, on_drift: str) -> None:
+    """Raise or warn if the first rows of a file differ in columns or types from what the recipe was made for."""
+    if not recipe.fingerprint:
+        warnings.warn("the recipe has no fingerprint, so changes of the input are not looked for", stacklevel=3)
+        return
+    how = {k: v for k, v in recipe.read.items() if k in ("columns", "skiprows", "sep", "encoding")}
+    found = [f for f in detect_drift(recipe, read_table(spark, path, nrows=HASHED_ROWS, **how)) if f.severity != "info"]
+    if found and (on_drift == "error" or mode == "strict"):
+        raise DriftError("; ".join(f.message for f in found))
+    if found and on_drift == "warn":
+        warnings.warn("; ".join(f.message for f in found), stacklevel=3)
+
+
+def replay_file(spark: SparkSession, recipe: Recipe, path: str, out: str, mode: str = "review", quarantine: str | None = None, max_files: int = 1, on_drift: str = "error") -> StreamSummary:
+    """A CSV file or folder through a recipe, all columns as text, with the results in place only once all of it is done.
+
+    out is one CSV file if it ends so, else a folder of Parquet parts. Held rows go
+    beside it (quarantine, or out with .quarantine before its suffix), as a file only
+    if there are any. The recipe's separator, encoding and columns are used; its first
+    rows are checked for changes (on_drift error, warn or ignore).
+    """
     suffix = Path(path).suffix.lower()
     if suffix not in (".csv", ".txt", ".tsv", ""):
         raise ScrublineError(f"only CSV can be streamed, not {suffix}")
     check_streamable(recipe)
-    names = spark.read.option("header", True).option("sep", "\t" if suffix == ".tsv" else ",").csv(path).columns
+    if unfit := {"nrows", "skiprows"} & {k for k, v in recipe.read.items() if v}:
+        raise ScrublineError(f"the recipe reads with {', '.join(sorted(unfit))}, which cannot be streamed")
+    if on_drift != "ignore" and Path(path).is_file():
+        _checked_head(spark, recipe, path, mode, on_drift)
+    sep = recipe.read.get("sep") or ("\t" if suffix == ".tsv" else ",")
+    charset = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252"}.get(recipe.read.get("encoding", "utf-8-sig"), recipe.read.get("encoding"))
+    options = {"header": True, "sep": sep, "encoding": charset, "quote": '"', "escape": '"', "multiLine": crosses_lines(file_lines(spark, path), sep)}
+    names = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     folder = path if Path(path).is_dir() else str(Path(path).parent)
-    source = spark.readStream.schema(schema).option("header", True).option("sep", "\t" if suffix == ".tsv" else ",").option("maxFilesPerTrigger", max_files)
+    source = spark.readStream.schema(schema).options(**options).option("maxFilesPerTrigger", max_files)
     source = source.option("recursiveFileLookup", True).option("pathGlobFilter", "*" if folder == path else Path(path).name).csv(folder)
+    if recipe.read.get("columns"):
+        source = source.select(*(F.col(f"`{n}`") for n in names if n in set(recipe.read["columns"])))
+    single = Path(out).suffix.lower() in (".csv", ".tsv", ".txt")
+    held_out = quarantine or (str(Path(out).with_suffix(f".quarantine{Path(out).suffix}")) if single else f"{out}.quarantine")
     work = Path(out).with_name(f".{Path(out).name}.{uuid.uuid4().hex}")
     try:
         made = replay_stream(recipe, source, f"{work}/clean", f"{work}/held", f"{work}/checkpoint", mode)
-        for part, target in (("clean", out), ("held", quarantine or f"{out}.quarantine")):
-            shutil.rmtree(target, ignore_errors=True)
-            if (work / part).exists():
-                shutil.move(str(work / part), target)
-            else:
-                spark.createDataFrame([], schema).write.parquet(target)
+        for part, target in (("clean", out), ("held", held_out)):
+            rows = spark.read.parquet(f"{work}/{part}").drop("batch") if (work / part).exists() else spark.createDataFrame([], source.schema)
+            if single and (part == "clean" or made.quarantined):
+                write_table(rows, target)
+            elif not single:
+                shutil.rmtree(target, ignore_errors=True)
+                if (work / part).exists():
+                    shutil.move(str(work / part), target)
+                else:
+                    rows.write.parquet(target)
         return made
     finally:
         shutil.rmtree(work, ignore_errors=True)
@@ -110,9 +148,7 @@ def replay_file(spark: SparkSession, recipe: Recipe, path: str, out: str, mode:
 
 def replay_to_table(spark: SparkSession, recipe: Recipe, df: DataFrame) -> DataFrame:
     """df written, replayed as a stream of files, and the clean rows read again."""
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get() if not spark.sparkContext.master.startswith("local[") else Path(tempfile.mkdtemp(prefix="scrubline-")).as_uri()
-    work = f"{base}/replay-{uuid.uuid4().hex}"
+    work = work_folder(spark)
     df.write.parquet(f"{work}/in")
     source = spark.readStream.schema(df.schema).parquet(f"{work}/in")
     replay_stream(recipe, source, f"{work}/out", f"{work}/held", f"{work}/state", counted=False)

@@ -89,3 +89,9 @@ def test_patterns():
     for bad in ("(a+)+", "(a|ab)*", "(", "x" * 600):
         with pytest.raises(RecipeError):
             c.check_pattern(bad)
+
+
+def test_dates_in_any_form(spark):
+    texts = ["31/01/2024", "Wednesday, 14 Feb 2024", "2024.03.05", "20240106", "10-11-12", "March 7th 2024 5pm", "soon", "", None, "2024-01-31T10:00:00+02:00"]
+    assert values(spark, texts, lambda x: c.parse_date(x)) == ["2024-01-31", "2024-02-14", "2024-03-05", "2024-01-06", "2012-10-11", "2024-03-07", None, None, None, "2024-01-31"]
+    assert values(spark, ["10-11-12", "10.11.12"], lambda x: c.parse_date(x, yearfirst=True))[1] == "2010-11-12"

@@ -4,8 +4,8 @@ import pytest
 
 from scrubline import api
 from scrubline.cli import main
-from scrubline.errors import ReadError, ScrublineError
-from scrubline.plans.recipe import Recipe
+from scrubline.errors import DriftError, ReadError, ScrublineError
+from scrubline.plans.recipe import Recipe, WorkbookRecipe, load_any
 from scrubline.sources import assembly
 from scrubline.sources.files import csv_options, read_table, sniff_delimiter, write_table
 from scrubline.streaming.replay import check_streamable, replay_file
@@ -111,3 +111,26 @@ def test_raw_lines_of_files(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text('a,b\r\n1,"x\r\ny"\r\n2,z\r\n')
     assert [(r.line_no, r.raw_text) for r in assembly.raw_lines(spark, str(path)).orderBy("line_no").collect()] == [(1, "a,b"), (2, '1,"x\r\ny"'), (3, "2,z")]
+
+
+def test_streaming_to_one_file_with_the_held_rows_beside(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('id;note\n1; "x" \n2;"a\n=b"\n7;=c\n')
+    recipe = Recipe.from_dict({"read": {"sep": ";"}, "columns": {"note": {"ops": ["strip_whitespace"]}}, "validate": [{"column": "id", "check": "< 5"}]})
+    summary = replay_file(spark, recipe, str(path), str(tmp_path / "out.csv"))
+    assert (summary.rows_out, summary.quarantined) == (2, 1)
+    assert (tmp_path / "out.csv").read_text().startswith("id,note\n1,") and "7,'=c" in (tmp_path / "out.quarantine.csv").read_text()
+    recipe.fingerprint = {"columns": 2, "column_names": ["id", "other"], "dtypes": {"id": "int64", "other": "object"}, "row_count": 3}
+    with pytest.raises(DriftError):
+        replay_file(spark, recipe, str(path), str(tmp_path / "out.csv"))
+    recipe.validations = []
+    replay_file(spark, recipe, str(path), str(tmp_path / "all.csv"), on_drift="ignore")
+    assert not (tmp_path / "all.quarantine.csv").exists()
+
+
+def test_one_recipe_file_for_a_workbook(spark, tmp_path):
+    book = {"One": spark.createDataFrame([(" a ",)], "Name string"), "Two": spark.createDataFrame([("b",)], "x string")}
+    WorkbookRecipe({"One": Recipe.from_dict({"columns": {"Name": ["strip_whitespace"]}})}).save(tmp_path / "w.yaml")
+    done = api.apply_workbook(spark, book, tmp_path / "w.yaml")
+    assert set(done) == {"One"} and done["One"].data.collect()[0].Name == "a"
+    assert api.workbook_recipe(done).to_dict() == load_any(tmp_path / "w.yaml").to_dict()
