@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scrubline.operators import column_profile, schema_drift, timestamps
-from scrubline.queries import cleaning
+from scrubline.queries import cleaning, fixtures
 from scrubline.session import table
 from scrubline.sources import raw_records
 
@@ -58,7 +58,7 @@ def p6_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
-    return {**cleaning.QUERIES, **own}
+    return {**cleaning.QUERIES, **fixtures.QUERIES, **own}
 
 
 _P2_FOUND = r"""
@@ -91,4 +91,4 @@ SELECT DISTINCT * FROM (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**cleaning.SQL, "p2_found": _P2_FOUND}
+    return {**cleaning.SQL, **fixtures.SQL, "p2_found": _P2_FOUND}

@@ -314,7 +314,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(made["columns"], made["row_count"], made["hash_sample"])], "columns int, row_count bigint, hash_sample string")
 
 
-@_query("drift_report")
+@_query("drift_report", "SELECT * FROM (VALUES ('renamed_column', 'c_acct_bal', 'warning'), ('missing_column', 'c_acctbal', 'warning'), ('missing_column', 'c_nationkey', 'warning'), ('new_column', 'note', 'warning'), ('content_hash_change', NULL, 'info')) t(kind, column_name, severity)")
 def _drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrubline.plans.drift import detect_drift, fingerprint
 
