@@ -84,7 +84,7 @@ _column("cast_float", "amount_raw", lambda x: c.cast(F.replace(x, F.lit(" USD"),
 _column("cast_int", "bal_raw", lambda x: c.cast(x, "int", "double"), "CAST(round_even(CAST(bal_raw AS DECIMAL(18, 6)), 0) AS bigint)")
 _column("cast_bool", "segment_raw", lambda x: c.cast(F.when(x.startswith("A"), " Yes ").when(x.startswith("B"), "f").otherwise(x), "bool"), "CASE WHEN segment_raw LIKE 'A%' THEN true WHEN segment_raw LIKE 'B%' THEN false END")
 _column("cast_string", "c_custkey", lambda x: c.cast(x, "string", "bigint"), "CAST(c_custkey AS VARCHAR)")
-_column("cast_datetime", "date_raw", lambda x: F.date_format(c.cast(x, "datetime"), "yyyy-MM-dd HH:mm"), "strftime(coalesce(try_strptime(date_raw, '%m/%d/%Y'), try_strptime(date_raw, '%Y-%m-%d')), '%Y-%m-%d %H:%M')", "orders")
+_column("cast_datetime", "date_raw", lambda x: F.date_format(c.cast(x, "datetime"), "yyyy-MM-dd HH:mm"), "strftime(coalesce(try_strptime(date_raw, '%m/%d/%Y'), try_strptime(date_raw, '%Y-%m-%d'), try_strptime(date_raw, '%d/%m/%Y')), '%Y-%m-%d %H:%M')", "orders")
 _column("round", "bal_raw", lambda x: c.round_half_even(x, 1), "round_even(CAST(bal_raw AS DECIMAL(18, 6)), 1)::double")
 _column("parse_date", "date_raw", lambda x: c.parse_date(x, ["%d/%m/%Y", "%Y-%m-%d"]), _DATE, "orders")
 _column("parse_date_two_digits", "date_raw", lambda x: c.parse_date(F.regexp_replace(x, r"/\d\d(\d\d)$", "/$1"), ["%d/%m/%y"], output="%d %b %Y"), "strftime(try_strptime(regexp_replace(date_raw, '/\\d\\d(\\d\\d)$', '/\\1'), '%d/%m/%y'), '%d %b %Y')", "orders")
