@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,8 +31,8 @@ from scrubline.llm.canonical_values import Entries, city_reference, edits, norma
 from scrubline.llm.hidden_duplicates import hashes
 from scrubline.session import cut, only
 
-#: Least log likelihood of a spelling under a name, and spellings of a block from which it is divided among tasks by what
-#: its spellings share; any two that may mean the same share something.
+#: Least log likelihood of a spelling under a name, and spellings of a block from which it has a task of its own; it is judged
+#: as a whole at any size.
 LEAST_LIKELIHOOD, BLOCK_SPELLINGS = -12.5, 2_000
 #: Spellings of a block from which fitting names are looked up rather than all tried; the result is the same.
 INDEXED_SPELLINGS = 40
@@ -39,8 +40,8 @@ INDEXED_SPELLINGS = 40
 COMMON_SHARE = 0.001
 #: Size of the filter of places where a row without mailbox is sought; a full filter only sends more rows.
 SOUGHT_BITS = 1 << 23
-#: Crowded blocks up to which their keys are broadcast.
-BROADCAST_BLOCKS = 100_000
+#: Crowded blocks up to which their keys are broadcast, and most tasks for them.
+BROADCAST_BLOCKS, CROWDED_TASKS = 100_000, 1_000
 #: Letters from which the consonants of a word tell it; a shorter one counts as spelled.
 SHORT = 5
 # Words that surround the name of a town, and words that stand for no town.
@@ -85,6 +86,7 @@ def name_words(name: str) -> list[str]:
     return [SHORT_FORMS.get(w, w) if len(words) > 1 else w for w in words]
 
 
+@lru_cache(1 << 16)
 def _sound(word: str) -> str:
     """word with letters that sound alike made equal."""
     for a, b in (("ph", "f"), ("ck", "k"), ("sch", "sh"), ("w", "v"), ("c", "k"), ("q", "k"), ("z", "s"), ("y", "i"), ("th", "t"), ("dt", "t"), ("h", "")):
@@ -141,6 +143,9 @@ def likelihood(said: list[str], meant: list[str], common: frozenset[str]) -> flo
             left.pop(-best[1])
         else:
             rest.append(word)
+    # Names of which no word agrees have nothing in common, however little their words cost.
+    if len(rest) == len(said):
+        total = -20.0
     for word in rest + left:
         total -= 1.5 if len(word) == 1 or word in FORMS else 8.0
     if total < LEAST_LIKELIHOOD:
@@ -174,38 +179,72 @@ def _pieces(text: str, n: int) -> list[tuple[int, int]]:
     return [(i * len(text) // n, (i + 1) * len(text) // n) for i in range(n)]
 
 
+@lru_cache(1 << 16)
+def _relatives(word: str) -> frozenset[str]:
+    """What a word shares with each one that a nickname leads to: full names it is near or short for, nicknames it is near or has."""
+    less = _shortened(word, 2) if len(word) < 24 else set()
+    fulls = {f for x in less for f in _FULL_FORMS.get(x, ()) if edits(word, f, 2) <= 2} | set(FULL_NAMES.get(word, ()))
+    nicks = {n for x in less for n in _NICK_FORMS.get(x, ()) if edits(word, n, 1) <= 1} | set(NICKNAMES.get(word, "").split())
+    return frozenset({"f" + f for f in fulls} | {"k" + n for n in nicks})
+
+
+_FULL_FORMS: dict[str, list[str]] = {}
+for _full in NICKNAMES:
+    for _form in _shortened(_full, 2):
+        _FULL_FORMS.setdefault(_form, []).append(_full)
+_NICK_FORMS: dict[str, list[str]] = {}
+for _nick in FULL_NAMES:
+    for _form in _shortened(_nick, 1) if len(_nick) > 3 else ():
+        _NICK_FORMS.setdefault(_form, []).append(_nick)
+
+
+def _word_forms(word: str, long: int) -> set[str]:
+    """What a word shares with each one it may be typed for, but for their first letters; slips are left out from that length on.
+
+    The longer of two words says how many slips there may be; the shorter one then has less letters to lose.
+    """
+    found, n = {"~" + _sound(word), *_relatives(word)}, len(word)
+    for least, slips in ((1, 1), (5, 2), (8, 3)):
+        if n < long and n >= least - slips and n <= {1: 4, 2: 7, 3: long}[slips]:
+            found.update(f"{slips}{f}" for f in _shortened(word, min(slips, slips - least + n) if slips > 1 else 1))
+    return found
+
+
+def _letters(word: str) -> set[str]:
+    """The initials that may stand for a word."""
+    return {word[0], *(n[0] for n in (*NICKNAMES.get(word, "").split(), *FULL_NAMES.get(word, ())))}
+
+
 class _Words:
     """The words of a block, and for each word those that may be typed for it or for which it may be typed.
 
     Two texts within k edits share a form with at most k letters deleted each; of
     2k + 1 pieces of the one at least one also stands in the other, moved by k at most.
+    Forms are kept by their hashes; the likelihoods decide.
     """
 
     LONG = 12
 
     def __init__(self, known: set[str], common: frozenset[str]):
-        self.common, self.forms, self.cut = common, {}, {}
+        self.common, self.cut = common, {}
         self.known, self.sorted, self.lengths = known, sorted(known), {len(w) for w in known}
-        for w in known:
-            for f in self._forms(w):
-                self.forms.setdefault(f, []).append(w)
+        made, owners = array("q"), array("i")
+        for at, w in enumerate(self.sorted):
+            forms = _word_forms(w, self.LONG + 3)
+            made.extend(map(hash, forms))
+            owners.extend([at] * len(forms))
             if len(w) >= self.LONG:
                 for k, (i, j) in enumerate(_pieces(w, 7)):
                     self.cut.setdefault((len(w), k, w[i:j]), []).append(w)
+        order = np.argsort(np.frombuffer(made, np.int64)) if made else np.zeros(0, np.int64)
+        self.forms, self.owners = np.array(made, np.int64)[order], np.array(owners, np.int32)[order]
         self.matches = lru_cache(None)(self._matches)
 
-    def _forms(self, word: str) -> set[str]:
-        found = {"~" + _sound(word)}
-        if len(word) < self.LONG + 3:
-            found |= _shortened(word, 3 if len(word) >= 5 else 2)
-        for full in FULL_NAMES.get(word, ()):
-            found |= _shortened(full, 2)
-        for nick in NICKNAMES.get(word, "").split():
-            found |= _shortened(nick, 1)
-        return found
-
     def _matches(self, word: str) -> tuple[str, ...]:
-        near = {w for f in self._forms(word) for w in self.forms.get(f, ())} | {word[:n] for n in self.lengths if 1 < n < len(word)} & self.known
+        forms = np.fromiter(map(hash, _word_forms(word, self.LONG + 3)), np.int64)
+        first, last = self.forms.searchsorted(forms), self.forms.searchsorted(forms, "right")
+        near = {self.sorted[k] for i, j in zip(first.tolist(), last.tolist()) if i < j for k in self.owners[i:j].tolist()}
+        near |= {word[:n] for n in self.lengths if 1 < n < len(word)} & self.known
         near.update(takewhile(lambda w: w.startswith(word), islice(self.sorted, bisect_left(self.sorted, word), None)))
         for n in range(len(word) - 3, len(word) + 4) if len(word) >= self.LONG else ():
             if n in self.lengths and n >= self.LONG:
@@ -217,11 +256,26 @@ class _Words:
         return tuple(w for w in near if not single(w) and max(word_likelihood(word, w, both := word in self.common and w in self.common and w != word), word_likelihood(w, word, both)) > -10)
 
 
+class _Kind:
+    """Names with as many words that cost much alone, and as many initials: by their words, their initials, and initials that may stand for their words."""
+
+    def __init__(self):
+        self.having: dict[str, list[str]] = {}
+        self.initial: dict[str, list[str]] = {}
+        self.lettered: dict[str, list[str]] = {}
+
+    def add(self, name: str, meant: list[str]) -> None:
+        for w in set(meant):
+            (self.having if len(w) > 1 else self.initial).setdefault(w, []).append(name)
+        for x in {x for w in meant if len(w) > 1 for x in _letters(w)}:
+            self.lettered.setdefault(x, []).append(name)
+
+
 class _Names:
     """Names of a block, and for each spelling those whose likelihood may reach the least one; none that does is left out."""
 
     def __init__(self, words: _Words):
-        self.words, self.having, self.kinds, self.joined, self.lengths, self.initials = words, {}, {}, {}, set(), {}
+        self.words, self.kinds, self.joined, self.initials = words, {}, {}, {}
 
     @staticmethod
     def _kind(said: list[str]) -> tuple[int, int]:
@@ -232,43 +286,58 @@ class _Names:
     def _firsts(meant: list[str]) -> set[str]:
         return {"".join(w[0] for w in meant), "+".join(sorted(w[0] for w in meant)), "+".join(sorted(w[0] for w in meant if w not in ("and", "the")))}
 
+    @staticmethod
+    def _counts(one: str) -> array:
+        """How often each letter stands in a text; letters of other alphabets share a place with these."""
+        found = array("i", bytes(128))
+        for c in one:
+            found[ord(c) & 31] += 1
+        return found
+
     def add(self, name: str) -> None:
         meant = name.split()
         if not meant:
             return
-        for w in {w for w in meant if len(w) > 1}:
-            self.having.setdefault(w, []).append(name)
-        self.kinds.setdefault(self._kind(meant), {})[name] = None
-        for other in {"".join(meant), "".join(meant[1:] + meant[:1]), "".join(meant[-1:] + meant[:-1])}:
-            self.lengths.add(len(other))
-            for k, (i, j) in enumerate(_pieces(other, 5)):
-                self.joined.setdefault((len(other), k, other[i:j]), []).append(name)
+        self.kinds.setdefault(self._kind(meant), _Kind()).add(name, meant)
+        one = "".join(meant)
+        names, letters = self.joined.setdefault(len(one), ([], array("i")))
+        names.append(name)
+        letters.extend(self._counts(one))
         for f in self._firsts(meant):
             self.initials.setdefault(f, []).append(name)
 
     def near(self, said: list[str]) -> set[str]:
         heavy, single = self._kind(said)
-        hits: dict[str, int] = {}
-        for w in said:
-            if len(w) > 1:
-                for name in {n for m in self.words.matches(w) for n in self.having.get(m, ())}:
-                    hits[name] = hits.get(name, 0) + 1
-        found = set()
-        # At most one word of both may stay alone.
-        for name, n in hits.items():
-            h, s = self._kind(name.split())
-            if max(0, heavy - n - s) + max(0, h - n - single) <= 1:
-                found.add(name)
+        long, short = [w for w in said if len(w) > 1], {w for w in said if len(w) == 1}
+        letters = {x for w in long for x in _letters(w)}
+        found: set[str] = set()
         for (h, s), names in self.kinds.items():
-            if max(0, heavy - s) + max(0, h - single) <= 1:
-                found.update(names)
+            # At most one word of both may stay alone, so that many must agree, with and without words that meet an initial.
+            least, plain = (next(n for n in range(heavy + h + 1) if max(0, heavy - n - i) + max(0, h - n - j) <= 1) for i, j in ((s, single), (0, 0)))
+            if least > len(long):
+                continue
+            # Two legal forms that agree leave the other words as they are.
+            lists = [[names.having[m] for m in self.words.matches(w) if m in names.having and not (plain and w in FORMS and m in FORMS)] for w in long]
+            lists.sort(key=lambda x: sum(map(len, x)))
+            # Of the rarest words, as many as may not agree and one more, one does.
+            rarest = lambda n: (names for some in lists[: len(long) - n + 1] for names in some)
+            met = lambda: [names.initial[x] for x in letters if x in names.initial] + [names.lettered[x] for x in short if x in names.lettered]  # noqa: B023, E731
+            if not plain:
+                # Something agrees anyway.
+                found.update(*rarest(1), *met(), *(names.initial.get(x, ()) for x in short))
+            elif plain <= len(long):
+                found.update(*rarest(plain))
+            if least < plain:
+                # An initial of the one stands for a word of the other.
+                found.update(set().union(*met()).intersection(set().union(*rarest(least))) if least else set().union(*met()))
         one = "".join(said)
+        # Two slips change four letters at most, however the words are written together.
+        counts = np.frombuffer(self._counts(one), np.int32)
         for n in range(len(one) - 2, len(one) + 3) if len(one) > 5 else ():
-            if n in self.lengths:
-                for k in range(5):
-                    i, j = k * n // 5, (k + 1) * n // 5
-                    for d in range(-2, 3):
-                        found.update(self.joined.get((n, k, one[i + d : j + d]), ()) if i + d >= 0 else ())
+            if n in self.joined:
+                names, held = self.joined[n]
+                far = np.abs(np.frombuffer(held, np.int32).reshape(-1, 32) - counts).sum(axis=1)
+                found.update(names[k] for k in np.flatnonzero(far <= 4).tolist())
         if all(len(w) == 1 for w in said):
             found.update(self.initials.get(one, ()))
         if len(said) == 1:
@@ -330,26 +399,22 @@ def posteriors(spellings: list[tuple[str, int]], common: frozenset[str] = frozen
 def _shared_forms(words: list[str]) -> dict[str, set[int]]:
     """What a spelling shares with every one that may mean the same, and of which of its words that is (-1: of all).
 
-    Two such spellings have a word in common but for slips, or are alike with all
-    words written together, or have the same initials; see likelihood.
+    Two such spellings have a word in common but for slips, or an initial and a word, or
+    are alike with all words written together, or have the same initials; see likelihood.
+    Blocks are searched by the same forms of words.
     """
     found: dict[str, set[int]] = {}
     for i, w in enumerate(words):
+        forms = {"!" + x for x in _letters(w)}
         if len(w) > 1:
-            forms = {"~" + _sound(w), *(_shortened(w, 1 if len(w) <= 4 else 2 if len(w) <= 7 else 3) if len(w) < 16 else {w[:n] for n in range(4, 9)} | {w[-8:]})}
-            forms |= {"^" + w[:n] for n in range(2, len(w) + 1)}
-            for full in FULL_NAMES.get(w, ()):
-                forms |= _shortened(full, 2)
-            for nick in NICKNAMES.get(w, "").split():
-                forms |= _shortened(nick, 1)
-            for f in forms:
-                found.setdefault(f, set()).add(i)
+            forms |= _word_forms(w, 40) | {"^" + w[:n] for n in range(2, len(w) + 1)} | ({"3" + w[k : k + 8] for k in range(len(w) - 7)} if len(w) >= 37 else set())
+        for f in forms:
+            found.setdefault(f, set()).add(i)
     for whole in {"".join(words), "".join(words[1:] + words[:1]), "".join(words[-1:] + words[:-1])}:
-        for f in _shortened(whole, 2) if 5 < len(whole) < 40 else ():
+        for f in (_shortened(whole, 2) if len(whole) < 42 else set()) | ({whole[k : k + 8] for k in range(len(whole) - 7)} if len(whole) >= 38 else set()) if len(whole) > 5 else ():
             found.setdefault("=" + f, set()).add(-1)
-    for f in {"".join(sorted(w[0] for w in words if w)), "".join(sorted(w[0] for w in words if w and w not in ("and", "the"))), "".join(sorted("".join(words))) if len(words) == 1 else ""} - {""}:
-        if all(len(w) == 1 for w in words) or len(words) > 1 or len(words[0]) < 8:
-            found.setdefault("!" + f, set()).add(-1)
+    for f in {"".join(sorted(w[0] for w in words)), "".join(sorted(w[0] for w in words if w not in ("and", "the"))), "".join(sorted("".join(words))) if len(words) == 1 else ""} - {""}:
+        found.setdefault("!!" + f, set()).add(-1)
     return found
 
 
@@ -357,29 +422,6 @@ def _number(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("|".join(map(str, parts))) - (1 << 63)
 
 
-def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each spelling of a crowded block by everything it shares with others: (key, part, word, words)."""
-    for batch in batches:
-        for key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows = [(_number(key, f), i) for f, places in _shared_forms(words.split()).items() for i in places]
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([words] * n, pa.string())], names=["key", "part", "word", "words"])
-
-
-def _divided_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spellings of a crowded part by what they share besides: (key, part, finer, words); finer is null where only one word could be shared.
-
-    At most one word of both names may stay alone, so of two names with two further words each, one is shared too.
-    """
-    for batch in batches:
-        for key, part, word, words in zip(*(c.to_pylist() for c in batch.columns)):
-            rest = [w if i != word else "" for i, w in enumerate(words.split())]
-            heavy = [w for w in rest if len(w) > 1 and w not in FORMS]
-            fine = sorted({_number(key, part, f) for f in _shared_forms(heavy)}) if heavy and word >= 0 else [None]
-            n = len(fine)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([part] * n, pa.int64()), pa.array(fine, pa.int64()), pa.array([words] * n, pa.string())], names=["key", "part", "finer", "words"])
-
-
 _VOWELS = str.maketrans("", "", "aeiouy")
 _TWICE = re.compile(r"(.)\1+")
 
@@ -467,9 +509,9 @@ def _attributed(common) -> callable:
         for batch in batches:
             rows = []
             for key, spellings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(key, s, name, score) for s, (name, score) in posteriors([(x["words"], x["n"]) for x in spellings], common.value).items() if s != name]
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "words", "name", "score"])
+                rows += [(key, s, name) for s, name in attribute([(x["words"], x["n"]) for x in spellings], common.value).items() if s != name]
+            kinds = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "words", "name"])
 
     return run
 
@@ -508,10 +550,10 @@ def _placed(common) -> callable:
         for batch in batches:
             made = []
             for key, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for words, (home, score) in homes([(r["words"], r["n"], r["host"], r["n_lost"]) for r in rows], common.value).items():
-                    made.append((key, words, _number(key, home) if isinstance(home, str) else home, score))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], k) for i, k in enumerate(kinds)], names=["key", "words", "cluster", "score"])
+                for words, (home, _) in homes([(r["words"], r["n"], r["host"], r["n_lost"]) for r in rows], common.value).items():
+                    made.append((key, words, _number(key, home) if isinstance(home, str) else home))
+            kinds = (pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], k) for i, k in enumerate(kinds)], names=["key", "words", "cluster"])
 
     return run
 
@@ -527,30 +569,21 @@ def _several(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, most: int, least: int = 2) -> DataFrame:
-    """(key, rows): the rows (key, words, ...) of each key together, at most that many; the key of a crowded block more often, with parts of its rows.
+    """(key, rows): the rows (key, words, ...) of each key together, those of more than that many in tasks of their own.
 
-    Blocks of fewer than least rows are left out. Any two spellings of a crowded block
-    that may mean the same are in some part together, with whatever else the rows hold.
+    Blocks of fewer than least rows are left out.
     """
     held = [c for c in rows.columns if c != "key"]
     rows = cut(rows)
-    together = lambda d, *key: d.groupBy(*key).agg(F.collect_list(F.struct(*held)).alias("rows")).select("key", "rows")
+    together = lambda d: d.groupBy("key").agg(F.collect_list(F.struct(*held)).alias("rows")).select("key", "rows")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    # Blocks of a usual size hold at most that many rows.
-    small = together(rows.join(sizes.filter(F.col("size").between(least, most)).select("key"), "key", "left_semi"), "key")
+    small = together(rows.join(sizes.filter(F.col("size").between(least, most)).select("key"), "key", "left_semi"))
     crowded = cut(sizes.filter(F.col("size") > most).select("key"))
-    if crowded.isEmpty():
+    n = crowded.count()
+    if not n:
         return small
-    wide = cut(rows.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_BLOCKS else crowded, "key"))
-    parts = wide.select("key", "words").mapInArrow(_divided, "key long, part long, word int, words string")
-    counts = cut(parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least))
-    usual = parts.join(counts.filter(F.col("size") <= most), ["key", "part"], "left_semi").select("key", "part", "words").distinct()
-    fine = cut(parts.join(counts.filter(F.col("size") > most), ["key", "part"], "left_semi").mapInArrow(_divided_again, "key long, part long, finer long, words string"))
-    groups = fine.filter("finer is not null").select("key", "part", "finer").distinct()
-    alone = fine.filter("finer is null").select("key", "part", "words").join(groups, ["key", "part"])
-    fine = _several(fine.filter("finer is not null").select("key", "part", "finer", "words").unionByName(alone.select("key", "part", "finer", "words")).select("key", F.col("finer").alias("part"), "words").distinct(), "key", "part")
-    found = usual.unionByName(fine).join(wide, ["key", "words"])
-    return small.unionByName(together(found, "key", "part"))
+    wide = rows.join(F.broadcast(crowded) if n <= BROADCAST_BLOCKS else crowded, "key")
+    return small.unionByName(together(wide).repartition(min(n, CROWDED_TASKS), "key"))
 
 
 def _has_mail(c: Column) -> Column:
@@ -620,20 +653,15 @@ def entities(customers: DataFrame, cities: DataFrame | None = None, block_spelli
     # Keys of a single group link nothing; the others are a fraction of all.
     held = cut(_several(held, "key"))
     spelled = held.filter("words <> '' and not placed").groupBy("key", "words").agg(F.sum("n").alias("n"))
-    named = _blocks(spelled, block_spellings or BLOCK_SPELLINGS).mapInArrow(_attributed(common), "key long, words string, name string, score double")
-    named = cut(named.groupBy("key", "words").agg(F.max_by("name", F.struct("score", "name")).alias("name")))
-    # A name may itself stand for another one where a crowded block was judged in parts, so it is linked to both.
-    chained = named.select("key", F.col("name").alias("words")).distinct().withColumn("name", F.col("words"))
-    both = named.unionByName(chained)
-    links = held.filter("not placed").join(both, ["key", "words"], "left").select("same", F.xxhash64("key", F.coalesce("name", "words")).alias("cluster"))
+    named = cut(_blocks(spelled, block_spellings or BLOCK_SPELLINGS).mapInArrow(_attributed(common), "key long, words string, name string"))
+    links = held.filter("not placed").join(named, ["key", "words"], "left").select("same", F.xxhash64("key", F.coalesce("name", "words")).alias("cluster"))
     at_place = held.filter("placed and words <> ''")
     best = F.max(F.when(~F.col("lost"), F.struct("n", (-F.col("same")).alias("least"))))
     places = at_place.groupBy("key", "words").agg(best.alias("best"), F.coalesce(F.sum(F.when(F.col("lost"), F.col("n"))), F.lit(0)).alias("n_lost"))
     places = places.select("key", "words", F.coalesce("best.n", F.lit(0)).cast("long").alias("n"), (-F.col("best.least")).alias("host"), "n_lost")
     seeking = places.groupBy("key").agg(F.max("n_lost").alias("n")).filter("n > 0").select("key")
     blocks = _blocks(places.join(seeking, "key", "left_semi"), block_spellings or BLOCK_SPELLINGS, least=1)
-    placed = blocks.mapInArrow(_placed(common), "key long, words string, cluster long, score double")
-    placed = cut(placed.groupBy("key", "words").agg(F.max_by("cluster", F.struct("score", (-F.col("cluster")).alias("first"))).alias("cluster")))
+    placed = cut(blocks.mapInArrow(_placed(common), "key long, words string, cluster long"))
     links = links.unionByName(at_place.filter("lost").join(placed, ["key", "words"]).select("same", "cluster")).unionByName(placed.select(F.col("cluster").alias("same"), "cluster"))
     # A cluster of one group connects nothing.
     links = cut(_several(links.distinct(), "cluster"))

@@ -162,6 +162,34 @@ def test_names_that_fit_share_a_form(seed):
                 assert forms[i] & forms[j], (a, b)
 
 
+def _said(rng, n):
+    firsts, lasts = ["Henry", "Robert", "Katherine", "Zoe"], [w.title() for w in _surnames(rng, 8)]
+    one = lambda w: rng.choice([w, w, w[0], w[:3] + w[4:], *name_variants.NICKNAMES.get(w.lower(), "").split()[:1]])
+    return [" ".join(one(w) for w in rng.sample([rng.choice(firsts), rng.choice(firsts), rng.choice(lasts), rng.choice(["Limited", "X", "Oscar"])], rng.randint(1, 4))) for _ in range(n)]
+
+
+def test_crowded_blocks_are_judged_as_a_whole(spark, monkeypatch):
+    rows = [(i, name, "all@x.example") for i, name in enumerate(_said(random.Random(7), 120))] + [(1000, "Whitfieldson Henry Oscar", "two@x.example"), (1001, "Whitfieldson H O Brown", "two@x.example"), (1002, "Whitfieldson Zoe Umber", "two@x.example")]
+    want = pairs(spark, rows)
+    assert (1000, 1001) in want
+    monkeypatch.setattr(name_variants, "BLOCK_SPELLINGS", 2)
+    assert pairs(spark, rows) == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lookups_leave_out_no_name_that_fits(seed):
+    block = [" ".join(name_variants.name_words(x)) for x in _said(random.Random(seed), 150)]
+    names = name_variants._Names(name_variants._Words({w for s in block for w in s.split() if len(w) > 1}, frozenset()))
+    for s in block:
+        names.add(s)
+    for a, b in itertools.product(block, block):
+        assert name_variants.likelihood(a.split(), b.split(), frozenset()) < name_variants.LEAST_LIKELIHOOD or b in names.near(a.split()), (a, b)
+
+
+def test_names_of_which_no_word_agrees_do_not_fit():
+    assert all(name_variants.likelihood(a.split(), b.split(), frozenset()) < name_variants.LEAST_LIKELIHOOD for a, b in itertools.permutations(["henry", "x y", "galuradicikatie", "b limited n", "z"], 2))
+
+
 def test_names_do_not_change_with_the_size_of_the_block():
     one = [("omar krandukel", 3), ("omar kronduka", 2), ("omar kronduca", 2), ("omar krondukka", 2)]
     rng = random.Random(2)
