@@ -186,6 +186,15 @@ def test_lookups_leave_out_no_name_that_fits(seed):
         assert name_variants.likelihood(a.split(), b.split(), frozenset()) < name_variants.LEAST_LIKELIHOOD or b in names.near(a.split()), (a, b)
 
 
+def test_names_of_a_crowded_place_meet_few_others():
+    rng = random.Random(4)
+    block = [f"{a} {b} incorporated" for a, b in zip(_surnames(rng, 600), _surnames(rng, 600))] + [f"christopher {a}" for a in _surnames(rng, 600)]
+    names = name_variants._Names(name_variants._Words({w for s in block for w in s.split()}, frozenset()))
+    for s in block:
+        names.add(s)
+    assert sum(len(names.near(s.split())) for s in block) < 20 * len(block)
+
+
 def test_names_of_which_no_word_agrees_do_not_fit():
     assert all(name_variants.likelihood(a.split(), b.split(), frozenset()) < name_variants.LEAST_LIKELIHOOD for a, b in itertools.permutations(["henry", "x y", "galuradicikatie", "b limited n", "z"], 2))
 
