@@ -182,7 +182,7 @@ def _with_options(described: DataFrame) -> DataFrame:
 
 
 def _fit_of_shapes(shape: Column, numeric: Column) -> dict[str, Column]:
-    """For each type whether all values of an expression fit it (true), none does (false), or each must be asked (null).
+    """For each type whether all values of a row of runs fit it (true), none does (false), or each must be asked (null).
 
     Whether a text is an integer, a decimal or an address depends on its row of runs alone.
     """
@@ -196,6 +196,26 @@ def _fit_of_shapes(shape: Column, numeric: Column) -> dict[str, Column]:
     }
 
 
+def _described_runs(expression: Column) -> tuple[Column, Column]:
+    """The rows of runs that an expression describes, with its optional part and without; letters that it spells out stay."""
+    plain = F.translate(expression, LETTER + DIGIT, "\x03\x03")
+    times = r"(?:[*+]|\{[0-9,]+\})?"
+    for what, sign in (
+        (r"(?:\\p\{Lu\}\\p\{Ll\}|\\p\{L[lu]\}|\[\\p\{L\}\\p\{M\}\\p\{N\}\])" + times, LETTER), (r"\[0-9\]" + times, DIGIT),
+        # Alternatives are runs of letters or of digits; what else stands in brackets is optional.
+        (r"\(\?:[0-9]+(?:\|[0-9]+)+\)", DIGIT), (rf"\(\?:{_LETTERS}+(?:\|{_LETTERS}+)+\)", LETTER), ("[0-9]+", DIGIT),
+    ):
+        plain = F.regexp_replace(plain, what, sign)
+    option = r"(?s)\(\?:(.*)\)\?"
+    return tuple(F.regexp_replace(F.regexp_replace(plain, option, kept), r"(?s)\\(.)", "$1") for kept in ("$1", ""))
+
+
+def _fit_of_expressions(expression: Column, numeric: Column) -> dict[str, Column]:
+    """The same for the values of an expression: what it says with its optional part must hold without it too."""
+    whole, less = (_fit_of_shapes(runs, numeric) for runs in _described_runs(expression))
+    return {k: F.when(whole[k] == less[k], whole[k]) for k in whole}
+
+
 def distinct_texts(df: DataFrame, group: str, columns: dict[str, str]) -> DataFrame:
     """(load, column_name, text, n, number, numeric, shape): the distinct values of each load and column; null is one of them."""
     values = long_values(df, group, columns).groupBy(*KEY, "text").agg(F.count(F.lit(1)).alias("n"), F.max("number").alias("number"), F.max("numeric").alias("numeric"))
@@ -220,15 +240,18 @@ def induced(values: DataFrame) -> DataFrame:
 def fits(values: DataFrame, patterns: DataFrame) -> DataFrame:
     """(load, column_name, null_count, unique_count, n_rows, fit_<type>): how many values of a column fit each type.
 
-    Expressions answer for all their values where they can; values are asked one by
-    one only where an expression leaves it open, and where none describes them.
+    Each expression is tested against the types once and answers for all its values
+    where it can; values are asked one by one only where an expression leaves it open,
+    and where none describes them.
     """
-    known = patterns.select(*KEY, "shape", F.col("expression").isNotNull().alias("described"))
+    of_text, of_number = (_fit_of_expressions(F.col("expression"), F.lit(numeric)) for numeric in (False, True))
+    known = patterns.filter("expression is not null").select(*KEY, "shape", F.struct(*(x.alias(k) for k, x in of_text.items())).alias("said"), F.struct(*(x.alias(k) for k, x in of_number.items())).alias("said_of_numbers"))
     rows = values.join(known, [*KEY, "shape"], "left")
     sums = []
-    for kind, answer in _fit_of_shapes(F.col("shape"), F.col("numeric")).items():
+    for kind in TYPES:
         each = _fits(kind, F.col("text"), F.col("number"), F.col("numeric"))
-        fit = F.when(F.col("text").isNull(), False).otherwise(F.coalesce(F.when(F.col("described"), answer), each))
+        answer = F.when(F.col("numeric"), F.col("said_of_numbers")[kind]).otherwise(F.col("said")[kind])
+        fit = F.when(F.col("text").isNull(), False).otherwise(F.coalesce(answer, each))
         sums.append(F.sum(F.when(fit, F.col("n")).otherwise(0)).alias(f"fit_{kind}"))
     return rows.groupBy(*KEY).agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("text").isNull(), F.col("n")).otherwise(0)).alias("null_count"), F.count("text").alias("unique_count"), *sums)
 

@@ -6,6 +6,7 @@ import zoneinfo
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from scrubline.operators import column_profile, schema_drift, timestamps
 from scrubline.sources import raw_records
@@ -138,6 +139,24 @@ def test_types_by_expression_are_the_types_of_the_values(spark):
     assert found["age"].fit_integer == found["age"].fit_float == len(rows) and found["price"].fit_integer == sum(i % 2 == 0 for i in range(len(rows))) and found["price"].fit_email == 0
 
 
+def test_expressions_answer_for_types(spark):
+    cases = {
+        "[0-9]{1,3}": "integer float phone?", r"\+[0-9]+": "integer float phone?", r"(?:\-)?[0-9]{2}": "integer float phone?", r"[0-9]+(?:\.[0-9]{2})?": "integer? float phone?", r"(?:12|15)\.5": "float phone?", "12": "integer float phone?", r"[0-9]{4}\-(?:01|12)\-[0-9]{2}": "date? phone?",
+        r"\p{Ll}+[0-9]{1,2}@(?:mail|post)\.\p{Ll}{3}": "email", r"\p{Lu}\p{Ll}*(?:@\p{Ll}+\.com)?": "email?", r"[\p{L}\p{M}\p{N}]+@x": "", r"\[0\-9\]": "", "(?:Ann|Bob) 7": "", r"\p{Lu}{2}\([0-9]\)\?": "",
+    }
+    said = column_profile._fit_of_expressions(F.col("e"), F.lit(False))
+    found = {r.e: " ".join(k + "?" * (r[k] is None) for k in ("integer", "float", "email", "date", "phone") if r[k] is not False) for r in spark.createDataFrame([(c,) for c in cases], "e string").select("e", *(x.alias(k) for k, x in said.items())).collect()}
+    assert found == cases
+
+
+def test_types_come_from_the_expressions(spark):
+    rows = [(1, f"n{i}", i, None, None, None, None, 0) for i in range(20)]
+    values = column_profile.distinct_texts(table(spark, rows, CLEAN), "load_id", {"name": "string"})
+    made = column_profile.induced(values)
+    assert column_profile.fits(values, made).collect()[0].fit_integer == 0
+    assert column_profile.fits(values, made.withColumn("expression", F.lit("[0-9]+"))).collect()[0].fit_integer == 20
+
+
 def test_profile_of_nothing(spark):
     empty = table(spark, [], CLEAN)
     loads = table(spark, [], "load_id long, feed_name string, load_seq int")
