@@ -76,17 +76,30 @@ def edits(a: str, b: str, most: int) -> int:
     a, b = a[i : len(a) - j], b[i : len(b) - j]
     if not a or not b:
         return min(len(a) + len(b), most + 1)
-    before, now = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, last, now = now, before, [i]
-        for j, y in enumerate(b, 1):
-            d = min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                d = min(d, last[j - 2] + 1)
-            now.append(d)
-        if min(now) > most:
+    # A letter that the other part lacks costs an edit each.
+    if len(one := {*a}) > most or len(b) > most:
+        two = {*b}
+        if len(one - two) > most or len(two - one) > most:
             return most + 1
-    return min(now[-1], most + 1)
+    # Hyyrö's bit vectors: bit i tells how the distances of a's first i + 1 letters differ from those next to them.
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, last, found = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    rising, falling, same, before = every, 0, 0, 0
+    for left, y in enumerate(b, 1 - len(b)):
+        now = places.get(y, 0)
+        same = ((((now & rising) + rising) ^ rising) | now | falling | ((~same & now) << 1 & before)) & every
+        up, down = falling | every & ~(same | rising), same & rising
+        if up & last:
+            found += 1
+        elif down & last:
+            found -= 1
+        if found + left > most:
+            return most + 1
+        up, down = up << 1 | 1, down << 1
+        rising, falling, before = (down | ~(same | up)) & every, up & same & every, now
+    return min(found, most + 1)
 
 
 def _value_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

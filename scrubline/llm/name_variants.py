@@ -36,6 +36,8 @@ from scrubline.session import cut, only
 LEAST_LIKELIHOOD, BLOCK_SPELLINGS = -12.5, 2_000
 #: Spellings of a block from which fitting names are looked up rather than all tried; the result is the same.
 INDEXED_SPELLINGS = 40
+#: Spellings sought in a place up to which all its names are tried, as that is less work than to index them; the result is the same.
+SOUGHT_SPELLINGS = 8
 #: A word is a common name if at least this share of all rows has it; so there are at most words per row over it.
 COMMON_SHARE = 0.001
 #: Size of the filter of places where a row without mailbox is sought; a full filter only sends more rows.
@@ -74,12 +76,16 @@ for _full, _short in NICKNAMES.items():
         FULL_NAMES[_nick] = FULL_NAMES.get(_nick, frozenset()) | {_full}
 SHORT_FORMS = {s: k for k, v in (FORMS | TRADES).items() for s in v.split()}
 _NOT_NAME = re.compile(r"\bc/o\b.*$|[\W_]+(?:accounts?|billing|office|personal|home|work|private account)\W*$|^\W*m/s\b|\battn\b.*$", re.I)
+#: What each match of _NOT_NAME in an ASCII name holds.
+_HINT = re.compile("c/o|m/s|attn|account|billing|office|personal|home|work")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def name_words(name: str) -> list[str]:
     """The words of a name without accents, titles and what is added to it."""
-    plain = _NOT_NAME.sub(" ", name).casefold()
+    plain = name.casefold()
+    if not name.isascii() or _HINT.search(plain):
+        plain = _NOT_NAME.sub(" ", name).casefold()
     if not plain.isascii():
         plain = "".join(c for c in unicodedata.normalize("NFKD", plain.replace("ø", "o").replace("ł", "l").replace("’", "")) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
     words = [w for w in _WORD.findall(plain.replace("'", "")) if w not in TITLES]
@@ -136,6 +142,9 @@ def likelihood(said: list[str], meant: list[str], common: frozenset[str]) -> flo
     total, left = 0.0, list(meant)
     rest = []
     for word in sorted(said, key=len, reverse=True):
+        if word in left:
+            left.remove(word)
+            continue
         options = [(word_likelihood(word, m, word in common and m in common and word != m), -i) for i, m in enumerate(left)]
         best = max(options, default=(-20.0, 0))
         if best[0] > -10:
@@ -158,6 +167,8 @@ def likelihood(said: list[str], meant: list[str], common: frozenset[str]) -> flo
             total = max(total, -6.0)
         if len(said) == 1 and len(meant) > 2 and sorted(one) in (sorted(w[0] for w in meant), sorted(w[0] for w in meant if w not in ("and", "the"))):
             total = max(total, -6.0)
+        if total < LEAST_LIKELIHOOD:
+            return total
     # Something whole must agree, not just initials.
     whole = [w for w in said if len(w) > 2]
     if whole and len(said) > 1 and not any(w[0] == m[0] or _sound(w)[:1] == _sound(m)[:1] for w in whole for m in meant if len(m) > 2):
@@ -210,6 +221,12 @@ def _word_forms(word: str, long: int) -> set[str]:
     return found
 
 
+@lru_cache(1 << 13)
+def _form_hashes(word: str) -> np.ndarray:
+    """The forms of a word by which a block is searched; trades, legal forms and given names stand in many blocks."""
+    return np.fromiter(map(hash, _word_forms(word, _Words.LONG + 3)), np.int64)
+
+
 def _letters(word: str) -> set[str]:
     """The initials that may stand for a word."""
     return {word[0], *(n[0] for n in (*NICKNAMES.get(word, "").split(), *FULL_NAMES.get(word, ())))}
@@ -228,20 +245,18 @@ class _Words:
     def __init__(self, known: set[str], common: frozenset[str]):
         self.common, self.cut = common, {}
         self.known, self.sorted, self.lengths = known, sorted(known), {len(w) for w in known}
-        made, owners = array("q"), array("i")
-        for at, w in enumerate(self.sorted):
-            forms = _word_forms(w, self.LONG + 3)
-            made.extend(map(hash, forms))
-            owners.extend([at] * len(forms))
+        made = [_form_hashes(w) for w in self.sorted]
+        for w in self.sorted:
             if len(w) >= self.LONG:
                 for k, (i, j) in enumerate(_pieces(w, 7)):
                     self.cut.setdefault((len(w), k, w[i:j]), []).append(w)
-        order = np.argsort(np.frombuffer(made, np.int64)) if made else np.zeros(0, np.int64)
-        self.forms, self.owners = np.array(made, np.int64)[order], np.array(owners, np.int32)[order]
+        forms = np.concatenate([np.zeros(0, np.int64), *made])
+        order = np.argsort(forms)
+        self.forms, self.owners = forms[order], np.repeat(np.arange(len(made), dtype=np.int32), [*map(len, made)])[order]
         self.matches = lru_cache(None)(self._matches)
 
     def _matches(self, word: str) -> tuple[str, ...]:
-        forms = np.fromiter(map(hash, _word_forms(word, self.LONG + 3)), np.int64)
+        forms = _form_hashes(word)
         first, last = self.forms.searchsorted(forms), self.forms.searchsorted(forms, "right")
         near = {self.sorted[k] for i, j in zip(first.tolist(), last.tolist()) if i < j for k in self.owners[i:j].tolist()}
         near |= {word[:n] for n in self.lengths if 1 < n < len(word)} & self.known
@@ -370,8 +385,8 @@ def posteriors(spellings: list[tuple[str, int]], common: frozenset[str] = frozen
     indexed = _Words({w for ws in words.values() for w in ws if len(w) > 1}, common) if len(counts) > INDEXED_SPELLINGS else None
     made = lambda: _Names(indexed) if indexed else _All()
     # Full spellings before those with initials or nicknames; of these the one that explains most rows.
-    initials = {s: sum(len(w) == 1 for w in words[s]) for s in counts}
-    kind = {s: (initials[s] >= max(1, len(words[s]) - 1), any(w in FULL_NAMES for w in words[s]), initials[s] > 0, len(words[s]) == 1) for s in counts}
+    initials = {s: [*map(len, words[s])].count(1) for s in counts}
+    kind = {s: (initials[s] >= max(1, len(words[s]) - 1), not FULL_NAMES.keys().isdisjoint(words[s]), initials[s] > 0, len(words[s]) == 1) for s in counts}
     explained = {s: float(n) for s, n in spellings}
     full = sorted(s for s in counts if kind[s] == (False,) * 4)
     if len(full) > 2:
@@ -422,18 +437,22 @@ def _number(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("|".join(map(str, parts))) - (1 << 63)
 
 
-_VOWELS = str.maketrans("", "", "aeiouy")
-_TWICE = re.compile(r"(.)\1+")
+_VOWELS = frozenset("aeiouy")
 
 
 def _skeleton(word: str) -> str:
     """A word by its first letter and its consonants, none twice in a row."""
-    return _TWICE.sub(r"\1", word[0] + word[1:].translate(_VOWELS))
+    kept = last = word[0]
+    for c in word[1:]:
+        if c != last and c not in _VOWELS:
+            kept += c
+            last = c
+    return kept
 
 
 def _key_word(words: list[str]) -> str:
     """The skeleton of the longest of words, of all together if it is short, and their whole spelling if that is short too."""
-    longest = max(words, key=lambda w: (len(w), w), default="")
+    longest = max(sorted(words, reverse=True), key=len, default="")
     joined = longest if len(longest) >= SHORT else "".join(words)
     return _skeleton(joined) if len(joined) >= SHORT else joined
 
@@ -526,7 +545,7 @@ def homes(names: list[tuple[str, int, int | None, int]], common: frozenset[str]
     """
     hosts = {w: (n, host) for w, n, host, _ in names if host is not None}
     lost = {w: n for w, _, _, n in names if n}
-    known = _Names(_Words({w for x in (*hosts, *lost) for w in x.split() if len(w) > 1}, common)) if len(hosts) > INDEXED_SPELLINGS else _All()
+    known = _Names(_Words({w for x in (*hosts, *lost) for w in x.split() if len(w) > 1}, common)) if len(hosts) > INDEXED_SPELLINGS and len(lost) > SOUGHT_SPELLINGS else _All()
     for w in hosts:
         known.add(w)
     result: dict[str, tuple[int | str, float]] = {}
@@ -559,10 +578,11 @@ def _placed(common) -> callable:
 
 
 def _several(rows: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key other rows have too; counts are added up before they meet the rows, and skewed keys are split there.
+    """The rows whose key other rows have too; the rows stream past the counts of the keys, so no key is held at once.
 
-    The counts look at every column, so that both sides come from one exchange of the rows.
+    The counts look at every column, so that both sides come from one exchange of the rows by key.
     """
+    rows = rows.repartition(*key)
     every = F.max(F.xxhash64(*rows.columns)).alias("every")
     shared = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), every).filter("members > 1 and every is not null").select(*key)
     return rows.join(shared, list(key), "left_semi")
@@ -635,6 +655,35 @@ def _common_words(customers: DataFrame) -> frozenset[str]:
     return frozenset(w for r in common.toLocalIterator() for w in name_words(r.word))
 
 
+def _linking(links: DataFrame) -> DataFrame:
+    """The distinct links (same, cluster) of the clusters that several have; the others connect nothing."""
+    links = links.repartition("cluster")
+    several = links.groupBy("cluster").agg(F.min("same").alias("least"), F.max("same").alias("most")).filter("least <> most").select("cluster")
+    return links.join(several, "cluster", "left_semi").select("same", "cluster").distinct()
+
+
+def _connected(links: DataFrame) -> DataFrame:
+    """(same, entity): the part of the links (same, cluster) that each one is connected to; those connected to none are left out.
+
+    Each first goes to its smallest cluster. Most parts are whole then, so only
+    clusters whose members went to different ones are followed further.
+    """
+    links = cut(_linking(links)).repartition("same")
+    first = cut(links.groupBy("same").agg(F.min("cluster").alias("entity")))
+    left = cut(_linking(links.join(first, "same").select(F.col("entity").alias("same"), "cluster")))
+    # The smallest cluster that a chain reaches becomes the entity; labels also skip along chains, so few rounds are needed.
+    live = cut(left.groupBy("same").agg(F.min("cluster").alias("entity")))
+    while True:
+        reached = cut(left.join(live, "same").groupBy("cluster").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")))
+        if reached.filter("entity <> other").isEmpty():
+            break
+        further = reached.select(F.col("cluster").alias("entity"), F.col("entity").alias("further"))
+        skipped = reached.join(further, "entity", "left").select("cluster", F.coalesce(F.least("entity", "further"), "entity").alias("entity"))
+        live = cut(left.join(skipped, "cluster").groupBy("same").agg(F.min("entity").alias("entity")))
+    further = live.select(F.col("same").alias("entity"), F.col("entity").alias("further"))
+    return first.join(further, "entity", "left").select("same", F.coalesce("further", "entity").alias("entity"))
+
+
 def entities(customers: DataFrame, cities: DataFrame | None = None, block_spellings: int | None = None) -> DataFrame:
     """(id, nk, pair, entity): the entity of each row whose entity is written in several ways.
 
@@ -663,17 +712,7 @@ def entities(customers: DataFrame, cities: DataFrame | None = None, block_spelli
     blocks = _blocks(places.join(seeking, "key", "left_semi"), block_spellings or BLOCK_SPELLINGS, least=1)
     placed = cut(blocks.mapInArrow(_placed(common), "key long, words string, cluster long"))
     links = links.unionByName(at_place.filter("lost").join(placed, ["key", "words"]).select("same", "cluster")).unionByName(placed.select(F.col("cluster").alias("same"), "cluster"))
-    # A cluster of one group connects nothing.
-    links = cut(_several(links.distinct(), "cluster"))
-    # The smallest cluster that a chain reaches becomes the entity; labels also skip along chains, so few rounds are needed.
-    live = cut(links.groupBy("same").agg(F.min("cluster").alias("entity")))
-    while True:
-        reached = cut(links.join(live, "same").groupBy("cluster").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")))
-        if reached.filter("entity <> other").isEmpty():
-            break
-        further = reached.select(F.col("cluster").alias("entity"), F.col("entity").alias("further"))
-        skipped = reached.join(further, "entity", "left").select("cluster", F.coalesce(F.least("entity", "further"), "entity").alias("entity"))
-        live = cut(links.join(skipped, "cluster").groupBy("same").agg(F.min("entity").alias("entity")))
+    live = _connected(links)
     linked = cut(_rows(customers).select("id", "nk", "pair", "same").join(live, "same").select("id", "nk", "pair", "entity"))
     # Entities of a single spelling are no variants.
     several = linked.groupBy("entity").agg(F.min("nk").alias("least"), F.max("nk").alias("most")).filter("least <> most").select("entity")

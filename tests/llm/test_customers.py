@@ -195,6 +195,49 @@ def test_names_of_a_crowded_place_meet_few_others():
     assert sum(len(names.near(s.split())) for s in block) < 20 * len(block)
 
 
+def _crowd(rng, hosts, seeking):
+    """A place of hosts organisations, and spellings without mailbox of as many of them."""
+    said = [f"{a} {b} corporation" for a, b in zip(_surnames(rng, hosts), rng.choices(["seeds", "dairy", "optics", "castings"], k=hosts))]
+    return [(w, 1 + k % 3, k, 0) for k, w in enumerate(said)] + [(w[0] + w[2:], 0, None, 1) for w in said[:seeking]]
+
+
+def test_few_spellings_of_a_crowded_place_need_no_index(monkeypatch):
+    place = _crowd(random.Random(8), 300, 5)
+    monkeypatch.setattr(name_variants, "SOUGHT_SPELLINGS", 0)
+    want = name_variants.homes(place)
+    assert [want[w][0] for w, *_, lost in place if lost] == list(range(5))
+    monkeypatch.undo()
+    monkeypatch.setattr(name_variants, "_word_forms", lambda *_: pytest.fail("indexed"))
+    assert name_variants.homes(place) == want
+
+
+def test_words_of_many_blocks_are_taken_apart_once(monkeypatch):
+    place, made, forms = _crowd(random.Random(9), 100, 20), [], name_variants._word_forms
+    name_variants._form_hashes.cache_clear()
+    monkeypatch.setattr(name_variants, "_word_forms", lambda *x: made.append(x[0]) or forms(*x))
+    assert name_variants.homes(place) == name_variants.homes(place)
+    assert len(made) == len(set(made))
+
+
+def test_chains_are_followed_to_their_ends(spark):
+    rng = random.Random(10)
+    # A chain whose clusters rise along it, one that is shuffled, whole parts, a cluster of one, and repeated links.
+    links = [(k, c) for k in range(40) for c in (k, k + 1)] + [(100 + k, 100 + c) for at in [rng.sample(range(30), 30)] for k in range(29) for c in at[k : k + 2]]
+    links += [(200 + k, 200 + k // 4) for k in range(40)] * 2 + [(300, 300), (301, 301), (301, 301)] + [(400 + rng.randrange(60), 400 + rng.randrange(60)) for _ in range(70)]
+    parts = {x: {x} for k, c in links for x in (("s", k), ("c", c))}
+    for k, c in links:
+        whole = parts["s", k] | parts["c", c]
+        for x in whole:
+            parts[x] = whole
+    want = {frozenset(i for kind, i in p if kind == "s") for p in parts.values()}
+    found = {}
+    for r in name_variants._connected(spark.createDataFrame(links, "same long, cluster long")).collect():
+        found.setdefault(r.entity, []).append(r.same)
+    assert all(len(x) == len(set(x)) for x in found.values())
+    assert {frozenset(x) for x in found.values()} == {p for p in want if len(p) > 1}
+    assert name_variants._connected(spark.createDataFrame([], "same long, cluster long")).count() == 0
+
+
 def test_names_of_which_no_word_agrees_do_not_fit():
     assert all(name_variants.likelihood(a.split(), b.split(), frozenset()) < name_variants.LEAST_LIKELIHOOD for a, b in itertools.permutations(["henry", "x y", "galuradicikatie", "b limited n", "z"], 2))
 
@@ -277,6 +320,14 @@ def distance(a, b):
     return d[len(a), len(b)]
 
 
+def test_edits_of_many_letters_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        most = rng.randint(0, 4)
+        assert canonical_values.edits(a, b, most) == min(distance(a, b), most + 1), (a, b, most)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_edits_and_neighbours(seed):
     rng = random.Random(seed)
