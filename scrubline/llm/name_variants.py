@@ -578,11 +578,10 @@ def _placed(common) -> callable:
 
 
 def _several(rows: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key other rows have too; the rows stream past the counts of the keys, so no key is held at once.
+    """The rows whose key other rows have too; counts are added up before they meet the rows, so a key that many have is not counted in one place.
 
-    The counts look at every column, so that both sides come from one exchange of the rows by key.
+    The counts look at every column, so that both sides come from one exchange of the rows.
     """
-    rows = rows.repartition(*key)
     every = F.max(F.xxhash64(*rows.columns)).alias("every")
     shared = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), every).filter("members > 1 and every is not null").select(*key)
     return rows.join(shared, list(key), "left_semi")
@@ -657,7 +656,6 @@ def _common_words(customers: DataFrame) -> frozenset[str]:
 
 def _linking(links: DataFrame) -> DataFrame:
     """The distinct links (same, cluster) of the clusters that several have; the others connect nothing."""
-    links = links.repartition("cluster")
     several = links.groupBy("cluster").agg(F.min("same").alias("least"), F.max("same").alias("most")).filter("least <> most").select("cluster")
     return links.join(several, "cluster", "left_semi").select("same", "cluster").distinct()
 
@@ -668,7 +666,7 @@ def _connected(links: DataFrame) -> DataFrame:
     Each first goes to its smallest cluster. Most parts are whole then, so only
     clusters whose members went to different ones are followed further.
     """
-    links = cut(_linking(links)).repartition("same")
+    links = cut(_linking(links))
     first = cut(links.groupBy("same").agg(F.min("cluster").alias("entity")))
     left = cut(_linking(links.join(first, "same").select(F.col("entity").alias("same"), "cluster")))
     # The smallest cluster that a chain reaches becomes the entity; labels also skip along chains, so few rounds are needed.
